@@ -6,7 +6,7 @@ import os
 
 import numpy as np
 
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 800_000
 _open: dict[str, "Encoder"] = {}
 
 
@@ -16,12 +16,32 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Words(dict):
+    """Ids of words, in two generations: at WORDS_KEPT words the older one goes, so memory is bounded and what recurs stays."""
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word.decode("utf-8", "surrogatepass"))
+        self[word] = ids
+        return ids
+
+    def trim(self) -> None:
+        if len(self) > WORDS_KEPT:
+            self.older = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Encodes as Tokenizer.encode(text, add_special_tokens=False) does.
 
     This vocabulary's pre-tokenizer drops white space and never joins across it, so a text's ids are the ids of its
     words in turn, and ASCII case does not matter to its normalizer. Texts with "<|" may hold an added token's string
-    and are encoded whole. At WORDS_KEPT words the store starts anew.
+    and are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -29,23 +49,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
+        self.words = Words(self.whole)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def batch(self, texts: list[str], end_id: int | None = None) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, with end_id last if given."""
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        words = self.words
-        split = [None if "<|" in t else t.encode("utf-8", "surrogatepass").lower().replace(b"\n", b" ").split(b" ") for t in texts]
-        if new := list({w for doc in split if doc for w in doc if w not in words}):
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)):
-                words[w] = np.array(e.ids, "<u4").tobytes()
-        get = words.__getitem__
-        return [
-            (np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if doc is None else b"".join(map(get, doc))) + end
-            for t, doc in zip(texts, split)
-        ]
+        self.words.trim()
+        get = self.words.__getitem__
+        split = lambda t: t.encode("utf-8", "surrogatepass").lower().replace(b"\n", b" ").split(b" ")
+        return [(self.whole(t) if "<|" in t else b"".join(map(get, split(t)))) + end for t in texts]
 
 
 def encoder(path: str) -> Encoder:
