@@ -15,45 +15,71 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import Query, partitions, table
 
-WORDS, BINS, BITS = 5, 128, 8
+WORDS, BINS, BITS, PROBES = 5, 128, 8, 16
 SHIFT = 64 - 7
+SIGN = -(1 << 63)
+SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def _range(n: int) -> Column:
     return F.sequence(F.lit(0), F.lit(n - 1))
 
 
+def _probe(j: int, a: int) -> int:
+    """The a-th bin that empty bin j asks; every bin would come once in BINS steps, as the stride is odd."""
+    return ((j * 2654435761 >> 7) + a * (((j * 2246822519 >> 9) & 63) * 2 + 1)) & (BINS - 1)
+
+
+def _long(bits: int) -> str:
+    return "shiftleft(1L, 63)" if bits == 1 << 63 else f"{bits}L"
+
+
+def _compiled(j: int) -> str:
+    """SQL for the value of bin j, with the first of its probes that is filled spelled out."""
+    probes = dict.fromkeys([j, *(_probe(j, a) for a in range(PROBES))])
+    some = " ".join(f"WHEN (mh_m{b // 64} & {_long(1 << b % 64)}) <> 0 THEN {'mh_c + ' * (b >= 64)}bit_count(mh_m{b // 64} & {_long((1 << b % 64) - 1)})" for b in probes)
+    return f"get(mh_f, CASE {some} ELSE 0 END)"
+
+
+def _bin(x: Column) -> Column:
+    return F.shiftrightunsigned(x.bitwiseXOR(F.lit(SIGN)), SHIFT).cast("int")
+
+
 def add_fingerprint(df: DataFrame, text: str, to: str, words: int = WORDS) -> DataFrame:
     """df with `to`: BINS // 8 longs; all zero for a text without words. Fewer than `words` words are one shingle.
 
     Words are runs of non-space in the lower-cased text. The steps are columns of their own, so that each is computed once.
+    An empty bin asks PROBES others, in compiled code; where all of those are empty, too (a text of a few words), it takes
+    the smallest hash of all, which agrees between two texts as often as they are alike.
     """
-    df = df.withColumn("mh_w", F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
-    df = df.withColumn("mh_h", F.transform("mh_w", lambda w: F.xxhash64(w))).drop("mh_w")
+    clean = F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
+    df = df.withColumn("mh_w", F.split(clean, SPACE))
+    df = df.withColumn("mh_h", F.transform("mh_w", lambda w: F.xxhash64(w))).withColumn("mh_n", F.when((F.size("mh_w") == 1) & (F.get("mh_w", F.lit(0)) == ""), 0).otherwise(F.size("mh_w"))).drop("mh_w")
     h = F.col("mh_h")
-    several = F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (words - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, words))))
-    one = F.array(F.aggregate(h, F.lit(0).cast("long"), lambda acc, x: F.xxhash64(acc, x)))
-    df = df.withColumn("mh_s", F.sort_array(F.when(F.size(h) >= words, several).when(F.size(h) > 0, one).otherwise(F.array().cast("array<bigint>")))).drop("mh_h")
+    several = F.transform(F.slice(h, F.lit(1), F.greatest(F.col("mh_n") - (words - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, words))))
+    one = F.array(F.xxhash64(h))
+    df = df.withColumn("mh_s", F.sort_array(F.when(F.col("mh_n") >= words, several).when(F.col("mh_n") > 0, one).otherwise(F.slice(one, 1, 0)))).drop("mh_h", "mh_n")
     s = F.col("mh_s")
-    df = df.withColumn("mh_f", F.filter(s, lambda x, i: (i == 0) | (F.shiftrightunsigned(x, SHIFT) != F.shiftrightunsigned(F.get(s, i - 1), SHIFT)))).drop("mh_s")
-    # bins in order: those of negative hashes, which sort first, are the upper half
+    df = df.withColumn("mh_f", F.filter(s, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(s, i - 1))))).drop("mh_s")
     f = F.col("mh_f")
-    df = df.withColumn("mh_m", F.map_from_arrays(F.transform(f, lambda x: F.shiftrightunsigned(x, SHIFT).cast("int")), f)).drop("mh_f")
-    df = df.withColumn("mh_d", F.transform(_range(BINS), lambda j: F.try_element_at("mh_m", j.cast("int")))).drop("mh_m")
-    d = F.col("mh_d")
-    stride = lambda j: F.pmod(F.xxhash64(j, F.lit(2)), F.lit(BINS // 2)) * 2 + 1
-    at = lambda j, a: F.pmod(F.xxhash64(j, F.lit(1)) % BINS + a * stride(j), F.lit(BINS)).cast("int")
-    fill = lambda j: F.get(F.filter(F.transform(_range(BINS), lambda a: F.get(d, at(j, a))), lambda x: x.isNotNull()), F.lit(0))
-    df = df.withColumn("mh_v", F.transform(d, lambda x, j: F.coalesce(x, fill(j), F.lit(0).cast("long")).bitwiseAND(255))).drop("mh_d")
-    v = F.col("mh_v")
-    packed = [reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(F.get(v, F.lit(8 * g + i)), 8 * i) for i in range(8)]) for g in range(BINS // 8)]
-    return df.withColumn(to, F.array(*packed)).drop("mh_v")
+    # the filled bins as two words of 64 bits
+    half = lambda k: F.aggregate(f, F.lit(0).cast("long"), lambda acc, x: F.when(F.shiftright(_bin(x), 6) == k, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), _bin(x).bitwiseAND(63)))).otherwise(acc))
+    df = df.withColumns({"mh_m0": half(0), "mh_m1": half(1)}).withColumn("mh_c", F.bit_count("mh_m0"))
+    compiled = F.expr(f"array({', '.join(map(_compiled, range(BINS)))})")
+    # the higher-order function keeps this projection out of one huge method, so that it is compiled in parts
+    none = F.transform(F.array_repeat(F.lit(0).cast("long"), BINS), lambda x: x)
+    df = df.withColumn("mh_v", F.when(F.size(f) > 0, compiled).otherwise(none)).drop("mh_f", "mh_m0", "mh_m1", "mh_c")
+    pack = lambda g: F.aggregate(F.slice("mh_v", g * 8 + 1, F.lit(8)), F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 8).bitwiseOR(x.bitwiseAND(255)))
+    # named twice, the array is not computed anew for each long
+    return df.withColumn(to, F.when(F.size("mh_v") > 0, F.transform(_range(BINS // 8), pack))).drop("mh_v")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimate of the Jaccard likeness of two packed fingerprints, 0 to 1: equal bins, less those equal by chance."""
-    low = lambda x, i: F.shiftrightunsigned(x, 8 * i).bitwiseAND(255)
-    equal = F.aggregate(F.zip_with(a, b, lambda x, y: sum((F.when(low(x.bitwiseXOR(y), i) == 0, 1).otherwise(0) for i in range(8)), F.lit(0))), F.lit(0), lambda acc, n: acc + n)
+    fold = lambda z, n, mask: z.bitwiseOR(F.shiftrightunsigned(z, n)).bitwiseAND(F.lit(mask))
+    # each byte of x ^ y becomes its lowest bit: 1 if any was set
+    unequal = lambda z: F.bit_count(fold(fold(fold(z, 4, 0x0F0F0F0F0F0F0F0F), 2, 0x0303030303030303), 1, 0x0101010101010101))
+    equal = F.lit(BINS) - F.aggregate(F.zip_with(a, b, lambda x, y: unequal(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
     chance = 1 / (1 << BITS)
     return F.greatest(F.lit(0.0), (equal / F.lit(float(BINS)) - chance) / (1 - chance))
 
