@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import Query, table
 from millrace.llm.tokens import default_path, encoder
 
-WINDOW, BLOCK_IDS, COMBINATIONS, HEADS = 2048, 1 << 23, 20_000, 96
+WINDOW, BLOCK_IDS, COMBINATIONS, HEADS = 2048, 1 << 22, 20_000, 96
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
-WORDS_KEPT = 800_000
+WORDS_KEPT = 400_000
+_MARK = re.compile(rb"(?<=[a-z0-9])([.,]) ")  # a lone mark after a letter or digit is a token of its own
 _open: dict[str, "Encoder"] = {}
 
 
@@ -59,7 +61,7 @@ class Encoder:
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         self.words.trim()
         get = self.words.__getitem__
-        split = lambda t: t.encode("utf-8", "surrogatepass").lower().replace(b"\n", b" ").split(b" ")
+        split = lambda t: _MARK.sub(rb" \1 ", t.encode("utf-8", "surrogatepass").lower().replace(b"\n", b" ")).split(b" ")
         return [(self.whole(t) if "<|" in t else b"".join(map(get, split(t)))) + end for t in texts]
 
 
