@@ -141,6 +141,22 @@ def local_links(fp: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray
     return flat(a), flat(b)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same connections with one link a node, to the smallest node that it reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    least = np.arange(len(nodes))
+    while True:
+        was, m = least.copy(), np.minimum(least[i], least[j])
+        np.minimum.at(least, i, m)
+        np.minimum.at(least, j, m)
+        least = least[least]
+        if (least == was).all():
+            break
+    some = least != np.arange(len(nodes))
+    return nodes[least[some]], nodes[some]
+
+
 def _compared(frames: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
     for frame in whole_groups(frames, "key"):
         key, fp, home = frame["key"].to_numpy(), frame["fp"].to_numpy("i8"), frame["home"].to_numpy(bool)
@@ -153,8 +169,8 @@ def _compared(frames: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFram
                 b.append(y)
             lo = hi
         if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pd.DataFrame({"a": a[a != b], "b": b[a != b]})
+            a, b = forest(np.concatenate(a), np.concatenate(b))
+            yield pd.DataFrame({"a": a, "b": b})
 
 
 def near_groups(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
