@@ -37,7 +37,7 @@ def read_records(spark: SparkSession, path: str, schema: StructType | str, bad:
     lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("pos")).where(F.trim("value") != "")
     start = lines.orderBy("pos").limit(1).collect()
     opens = start and start[0].value.lstrip()[:1]
-    whole = spark.read.text(path, wholetext=True) if opens and (opens == "[" or (opens == "{" and not lines.where(F.try_parse_json("value").isNotNull()).limit(1).count())) else None
+    whole = spark.read.text(path, wholetext=True) if opens and (opens == "[" or (opens == "{" and not lines.where(F.ltrim("value").startswith("{") & F.try_parse_json("value").isNotNull()).limit(1).count())) else None
     if whole is not None:
         parsed = whole.select(F.try_parse_json("value").alias("v"), F.col("value").alias("text"))
         if opens == "[" and parsed.where("v is not null").count():
