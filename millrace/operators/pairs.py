@@ -30,22 +30,28 @@ def qualified():
     return (F.col("forbidden_count") == 0) & (F.col("conflict_count") == 0) & (F.col("length_score") >= 0.5)
 
 
+def _tier():
+    plain = ~F.col("source").isin("generic", "weak")
+    return F.when(qualified() & (F.col("source") == "gold"), 1).when(qualified() & plain, 2).when(plain, 3).otherwise(4)
+
+
 def pick_chosen(scored: DataFrame, key: str = "id") -> DataFrame:
     """One row a prompt: qualified gold, else qualified and neither generic nor weak, else any such, else any; best first."""
-    plain = ~F.col("source").isin("generic", "weak")
-    tier = F.when(qualified() & (F.col("source") == "gold"), 1).when(qualified() & plain, 2).when(plain, 3).otherwise(4)
     w = W.partitionBy(key).orderBy("tier", F.desc("total_score"), "pos")
-    return scored.where("text <> ''").withColumn("tier", tier).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    return scored.where("text <> ''").withColumn("tier", _tier()).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
 def negatives(scored: DataFrame, key: str = "id", least_gap: float = 0.3) -> DataFrame:
     """Up to three pairs a prompt: for each negative source, in order, the lowest candidate that is far below or faulty.
 
-    A text that the chosen one or an earlier source has used is passed over. The sources are few, so each prompt's
-    candidates are folded in one array: one shuffle, by prompt, that pick_chosen's window shares.
+    A text that the chosen one or an earlier source has used is passed over. Scores are computed once and shuffled once: the
+    chosen candidate comes by a window over its prompt, and the prompt's few candidates are folded in one array.
     """
-    chosen = pick_chosen(scored, key).select(F.col(key).alias("k"), F.col("text").alias("chosen"), F.col("source").alias("chosen_source"), F.col("total_score").alias("chosen_score"))
-    low = scored.where(F.col("source").isin(*NEGATIVE_ORDER) & (F.col("text") != "")).join(chosen, F.col(key) == F.col("k")).where((F.col("text") != F.col("chosen")) & ((F.col("chosen_score") - F.col("total_score") >= least_gap) | clear_issue()))
+    w = W.partitionBy(key).orderBy("tier", F.desc("total_score"), "pos")
+    best = F.first(F.struct("text", "source", "total_score")).over(w)
+    rows = scored.where("text <> ''").withColumn("tier", _tier()).withColumn("best", best)
+    rows = rows.withColumns({"chosen": F.col("best.text"), "chosen_source": F.col("best.source"), "chosen_score": F.col("best.total_score")})
+    low = rows.where(F.col("source").isin(*NEGATIVE_ORDER) & (F.col("text") != F.col("chosen")) & ((F.col("chosen_score") - F.col("total_score") >= least_gap) | clear_issue()))
     rank = F.when(F.col("source") == NEGATIVE_ORDER[0], 1).when(F.col("source") == NEGATIVE_ORDER[1], 2).otherwise(3)
     item = F.struct(rank.alias("order"), F.col("total_score").alias("score"), "pos", "source", "text")
     by = low.groupBy(key, "chosen", "chosen_source", "chosen_score", *(c for c in ("input",) if c in scored.columns)).agg(F.sort_array(F.collect_list(item)).alias("items"))
