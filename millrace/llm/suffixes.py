@@ -4,11 +4,16 @@ Every 200-byte string is filed under its smallest k-gram hash, so equal strings
 place within it. Neighbouring strings with one such k-gram form a run; a run travels as its hash, the hash of its bytes
 and its place. A run whose bytes occur twice is wholly repeated. Where different runs share a k-gram, their bytes are
 fetched and a suffix array over them decides, by adjacent common prefixes, which strings occur more than once.
+
+No task gets all of a crowded k-gram (more than CROWD rows and a quarter of a task's even share): its runs are dealt by
+their bytes, bytes that crowd themselves are counted before any shuffle, and contexts are filed anew under ever longer
+bytes around the k-gram, which equal strings have in common.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +23,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import Query, keep, partitions, table, whole_groups
 
-LENGTH, GRAM, CHUNK, TEXT = 200, 64, 1 << 20, 400_000
+LENGTH, GRAM, CHUNK, TEXT, CROWD = 200, 64, 1 << 20, 400_000, 5_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 RUN = "doc_id long, th long, start long, n int, h long, c long"
+CONTEXT = "doc_id long, th long, start long, n int, place int, h long, c long, kind int, bytes binary"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -122,7 +128,8 @@ def _batch(batch: list[tuple[int, int, bytes]], ids, th: np.ndarray, length: int
 
 def _sorted_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of runs sorted by (h, c): kind 1: repeated as a whole; kind 2: one example of repeated bytes among different
-    ones; kind 3: bytes that occur once among different ones. The rest goes. Holds one row more than a batch."""
+    ones; kind 3: bytes that occur once among different ones. The rest goes. Holds one row more than a batch. Where the
+    task has only a part of a k-gram's runs, the column several says whether all of them have different bytes."""
     held: pd.DataFrame | None = None
     before_h = before_c = first_c = None
 
@@ -141,9 +148,11 @@ def _sorted_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         firsts = np.where(lead >= 0, c[np.maximum(lead, 0)], first_c if first_c is not None else 0)
         again = ~new_c | follow_c
         last_c = ~follow_c
-        mixed = last_c & (follow_h | (firsts != c))
+        told = frame["several"]
+        mixed = last_c & np.where(told.isna(), follow_h | (firsts != c), told.eq(True)).astype(bool)
         kind1, kind2, kind3 = again, again & mixed, ~again & mixed
         before_h, before_c, first_c = h[-1], c[-1], firsts[-1]
+        frame = frame.drop(columns="several")
         return pd.concat([frame[m].assign(kind=k) for k, m in ((1, kind1), (2, kind2), (3, kind3))], ignore_index=True)
 
     for frame in frames:
@@ -318,27 +327,120 @@ def _contexts(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFr
         rows = []
         for doc_id, th, packed, asks in zip(frame["doc_id"].array, frame["th"], frame["packed"], frame["asks"]):
             text = z.decompress(packed)
-            rows += [(None if pd.isna(doc_id) else int(doc_id), th, a["start"], a["n"], a["h"], a["kind"], text[a["start"] : a["start"] + a["n"] + length - 1]) for a in asks]
-        out = pd.DataFrame(rows, columns=["doc_id", "th", "start", "n", "h", "kind", "bytes"])
-        yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            rows += [(None if pd.isna(doc_id) else int(doc_id), th, a["start"], a["n"], -1, a["h"], 0, a["kind"], text[a["start"] : a["start"] + a["n"] + length - 1]) for a in asks]
+        yield _context_frame(rows)
+
+
+def _context_frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["doc_id", "th", "start", "n", "place", "h", "c", "kind", "bytes"])
+    return out.assign(doc_id=out["doc_id"].astype("Int64"))
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def gram_place(string: bytes, gram: int) -> int:
+    """Where the smallest k-gram of a string starts: that of runs()."""
+    data = np.frombuffer(string, "u1")
+    up, down = _tables_()
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, "u8"), np.cumsum((data.astype("u8") + np.uint64(1)) * up[: len(data)])])
+        grams = _mixed((total[gram:] - total[:-gram]) * down[: len(data) + 1 - gram])
+    return int(np.argmin(grams & ~np.uint64(CHUNK - 1)))
+
+
+def _finer(frames: Iterator[pd.DataFrame], length: int, gram: int, width: int) -> Iterator[pd.DataFrame]:
+    """Runs cut into classes of strings that have their k-gram within `width` places, each class filed under the
+    length - width + 1 bytes around the k-gram that all its strings have: equal strings still meet."""
+    for frame in frames:
+        rows = []
+        for doc_id, th, start, n, place, kind, data in zip(frame["doc_id"].array, *(frame[x] for x in ("th", "start", "n", "place", "kind", "bytes"))):
+            doc_id = None if pd.isna(doc_id) else int(doc_id)
+            place = gram_place(data[:length], gram) if place < 0 else place
+            at = 0
+            while at < n:
+                of, past = divmod(place - at, width)
+                many = min(n - at, past + 1)
+                shared = data[place - of * width : place - of * width - width + 1 + length]
+                h, c = struct.unpack("<qq", hashlib.blake2b(of.to_bytes(4, "little") + shared, digest_size=16).digest())
+                rows.append((doc_id, th, start + at, many, place - at, h, c, kind, data[at : at + many - 1 + length]))
+                at += many
+        yield _context_frame(rows)
+
+
+def _crowds(df: DataFrame, most: int) -> DataFrame:
+    """The h, c that more than `most` rows have: no more than rows / most of them."""
+    return df.groupBy("h", "c").count().where(F.col("count") > most).select("h", "c")
+
+
+def _most(rows: int, many: int, crowd: int) -> int:
+    """Rows of one key that a task may get: a quarter of its even share, so fewer than 4 * many keys have more."""
+    return max(crowd, rows // (4 * many))
+
+
+def _kinds(found: DataFrame, many: int, crowd: int) -> DataFrame:
+    """The runs that count, with their kind (see _sorted_runs)."""
+    most, slots = _most(found.count(), many, crowd), 16 * many
+    slot = F.pmod("h", F.lit(slots))
+    # a crowded k-gram's slot is crowded, so k-grams are counted in those slots alone
+    full = keep(found.groupBy(slot.alias("slot")).count().where(F.col("count") > most).select("slot"), "slots")
+    hot = keep(found.join(F.broadcast(full), slot == F.col("slot"), "left_semi").groupBy("h").agg(F.count("*").alias("runs"), (F.min("c") < F.max("c")).alias("several")).where(F.col("runs") > most).select("h", "several"), "hot")
+    if hot.isEmpty():
+        dealt = found.withColumn("several", F.lit(None).cast("boolean")).repartition(many, "h")
+        return keep(dealt.sortWithinPartitions("h", "c").mapInPandas(_sorted_runs, RUN + ", kind int"), "runs")
+    columns = found.columns
+    copies = found.join(F.broadcast(hot), "h").groupBy("h", "c", "several").agg(F.count("*").alias("runs"), F.min(F.struct("doc_id", "th", "start", "n")).alias("one"))
+    copies = keep(copies.where(F.col("runs") > most), "copies")
+    same = F.broadcast(copies.select("h", "c"))
+    rest = found.join(same, ["h", "c"], "left_anti").join(F.broadcast(hot), "h", "left").select(*columns, "several")
+    dealt = rest.repartition(many, F.when(F.col("several").isNull(), F.col("h")).otherwise(F.xxhash64("h", "c")))
+    kinds = dealt.sortWithinPartitions("h", "c").mapInPandas(_sorted_runs, RUN + ", kind int")
+    whole = found.join(same, ["h", "c"], "left_semi").select(*columns, F.lit(1).alias("kind"))
+    ones = copies.where("several").select("one.doc_id", "one.th", "one.start", "one.n", "h", "c", F.lit(2).alias("kind"))
+    return keep(kinds.union(whole).union(ones), "runs")
+
+
+def _dealt(context: DataFrame, crowds: DataFrame, most: int, length: int, gram: int) -> tuple[DataFrame, DataFrame | None]:
+    """Contexts of which no more than `most` share h, and those strings that are equal to more than `most` others."""
+    context, width, calm = keep(context, "contexts"), length - gram + 1, []
+    columns = context.columns
+    while True:
+        calm.append(context.join(F.broadcast(crowds), ["h", "c"], "left_anti").select(*columns))
+        crowded = context.join(F.broadcast(crowds), ["h", "c"], "left_semi").select(*columns)
+        if width == 1:
+            break
+        width = -(-width // 2)
+        context = keep(crowded.mapInPandas(lambda it, width=width: _finer(it, length, gram, width), CONTEXT), "contexts")
+        crowds = keep(_crowds(context, most), "crowds")
+        if crowds.isEmpty():
+            calm, crowded = [*calm, context], None
+            break
+    out = calm[0]
+    for more in calm[1:]:
+        out = out.union(more)
+    return out, crowded
+
+
+def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """doc_id, th (hash of the text) and spans (array of lo, hi) of the documents that have bytes to remove."""
     many = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     packed = rows.mapInPandas(_packed, "doc_id long, th long, packed binary")
-    found = rows.mapInPandas(lambda it: _runs(it, length, gram), RUN).repartition(many, "h").sortWithinPartitions("h", "c")
-    kinds = keep(found.mapInPandas(_sorted_runs, RUN + ", kind int"), "runs")
-    asks = kinds.where("kind > 1").groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n", "h", "kind")).alias("asks"))
+    kinds = _kinds(keep(rows.mapInPandas(lambda it: _runs(it, length, gram), RUN), "found"), many, crowd)
+    open_ = kinds.where("kind > 1")
+    asks = open_.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n", "h", "kind")).alias("asks"))
     met = packed.join(asks.withColumnsRenamed({"doc_id": "d", "th": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("doc_id", "th", "packed", "asks")
-    context = met.mapInPandas(lambda it: _contexts(it, length), "doc_id long, th long, start long, n int, h long, kind int, bytes binary")
+    context = met.mapInPandas(lambda it: _contexts(it, length), CONTEXT)
+    most = _most(open_.count(), many, crowd)
+    crowds, equal = keep(_crowds(open_.select("h", F.lit(0).cast("long").alias("c")), most), "crowds"), None
+    if not crowds.isEmpty():
+        context, equal = _dealt(context, crowds, most, length, gram)
     cut = context.repartition(many, "h").sortWithinPartitions("h").mapInPandas(lambda it: _decide(it, length), "doc_id long, th long, lo long, hi long")
-    whole = kinds.where("kind = 1").select("doc_id", "th", F.col("start").alias("lo"), (F.col("start") + F.col("n") + F.lit(length - 1)).alias("hi"))
-    return whole.union(cut).groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    to = (F.col("start") + F.col("n") + F.lit(length - 1)).alias("hi")
+    whole = kinds.where("kind = 1").select("doc_id", "th", F.col("start").alias("lo"), to).union(cut)
+    if equal is not None:
+        whole = whole.union(equal.where("kind = 3").select("doc_id", "th", F.col("start").alias("lo"), to))
+    return whole.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = (), with_text: bool = False, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document, kept_text if with_text, and the columns of carry.
 
     Removed is every byte covered by a string of `length` bytes that also starts elsewhere, in this document or another;
@@ -350,7 +452,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text", *(F.col(f"`{c}`").alias(x) for c, x in kept.items()))
     more = "".join(f", {x} {rows.schema[x].dataType.simpleString()}" for x in kept.values())
     packed = rows.mapInPandas(_packed, "doc_id long, th long, packed binary" + more)
-    found = spans(docs, length, gram).withColumnsRenamed({"doc_id": "d", "th": "t"})
+    found = spans(docs, length, gram, crowd).withColumnsRenamed({"doc_id": "d", "th": "t"})
     met = packed.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text + more
     out = met.select("doc_id", "packed", "spans", *kept.values()).mapInPandas(lambda it: _cut(it, with_text), schema)

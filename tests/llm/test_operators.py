@@ -258,6 +258,29 @@ def test_repeats_among_edits(spark, monkeypatch):
     assert (suffixes._crowd(parts, np.array(n), 200) == suffixes.repeated(parts, n, 200)).all()
 
 
+def test_repeats_in_crowds(spark, monkeypatch):
+    """Crowded k-grams: lines with other surroundings, copies of a document, equal strings in documents that differ."""
+    alone = lambda i, n: "".join(random.Random(i).choice("abcdefghij klmnop") for _ in range(n))
+    lines = {n: alone(7000 + n, n) for n in (70, 150, 199, 200, 201, 260)}
+    rows = [(1000 * n + i, alone(i * 31 + n, 150) + line + alone(i * 37 + n, 160)) for n, line in lines.items() for i in range(40)]
+    rows += [(i, alone(1, 900)) for i in range(80)] + [(900 + i, alone(1, 500) + alone(800 + i, 400)) for i in range(20)]
+    rows += [(500, "z" * 1500), (501, "z" * 199), (502, None), (None, "zy" * 300), (503, alone(1, 900) * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(((i is None, i or 0), *x) for (i, _), x in zip(rows, brute_repeats([t for _, t in rows], 200)))
+    deals, dealt = [], suffixes._dealt
+
+    def watched(*a):
+        deals.append(dealt(*a))
+        return deals[-1]
+
+    monkeypatch.setattr(suffixes, "_dealt", watched)
+    monkeypatch.setattr(suffixes, "_most", lambda rows, many, crowd: crowd)
+    for crowd in (1, 8, 30, 10**6):
+        got = suffixes.remove_repeats(df, crowd=crowd).collect()
+        assert sorted(((r.doc_id is None, r.doc_id or 0), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want, crowd
+    assert len(deals) == 3 and deals[0][1].count() > 0 and deals[2][0].groupBy("h").count().agg({"count": "max"}).first()[0] <= 30
+
+
 @pytest.mark.parametrize("alphabet", [b"ab", b"abc\x00\xff", bytes(range(256))])
 def test_two_stage_sort(alphabet):
     r = random.Random(1)
