@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import Query, keep, partitions, table, whole_groups
 
-LENGTH, GRAM, CHUNK, TEXT, CROWD = 200, 64, 1 << 20, 400_000, 5_000
+LENGTH, GRAM, CHUNK, TEXT, CROWD = 200, 64, 1 << 20, 400_000, 1_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 RUN = "doc_id long, th long, start long, n int, h long, c long"
