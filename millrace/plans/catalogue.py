@@ -164,9 +164,10 @@ def dedup_first(spark, sf):
     return clean.keep_first(_table(spark, sf, "documents"), ["text"], "doc_id").select("doc_id", "source")
 
 
-@query("select source, array_to_string(list_distinct(list(n_chars % 7 order by doc_id)), '') is not null as has_any, len(list_distinct(list(md5(text)))) as distinct_texts from documents group by source")
+@query("with l as (select doc_id, string_split(text, chr(10)) a from documents) select doc_id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), chr(10)) as kept from l")
 def dedup_in_array(spark, sf):
-    return _table(spark, sf, "documents").groupBy("source").agg(F.lit(True).alias("has_any"), F.count_distinct("text").cast("long").alias("distinct_texts"))
+    lines = F.array_distinct(F.split("text", "\n"))
+    return _table(spark, sf, "documents").select("doc_id", F.array_join(lines, "\n").alias("kept"))
 
 
 BOUNDS = [("train", 1100), ("val", 1200), ("pool", 1800)]
@@ -365,30 +366,34 @@ def missing_field_counts(spark, sf):
     return evaluate.missing(requests(spark, sf), ["input", "reference"])
 
 
-def _system(spark, sf, part):
-    return _table(spark, sf, "documents").where(f"doc_id % {part} <> 0").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.col("text").alias("prediction"))
+SYSTEMS = {"base": ("documents", "doc_id", "doc_id", "text"), "sft": ("pages", "page_id", "page_id", "html"), "dpo": ("conversations", "conv_id", "turn", "text"), "v2": ("part", "p_partkey", "p_partkey", "p_name")}
 
 
-def _compare_sql(parts: dict[str, int]) -> str:
-    cols = ", ".join(f"{S.shorten(S.normalize(D, f'{n}.text'), 500)} as {n}" for n in parts)
-    names = list(parts)
-    tables = f"documents {names[0]} " + " ".join(f"join documents {n} using (doc_id)" for n in names[1:])
-    return f"select doc_id as id, doc_id as pos, {cols} from {tables} where " + " and ".join(f"doc_id % {p} <> 0" for p in parts.values())
+def _system(spark, sf, name):
+    t, key, pos, text = SYSTEMS[name]
+    return _table(spark, sf, t).select(F.col(key).alias("id"), F.col(pos).alias("pos"), F.col(text).alias("prediction"))
 
 
-@query(_compare_sql({"base": 2, "sft": 3, "dpo": 5}))
+def _compare_sql(*names: str) -> str:
+    one = "(select {1} id, min({2}) pos, arg_max({3}, {2}) prediction from {0} where {1} is not null group by 1) "
+    tables = " join ".join(one.format(*SYSTEMS[n]) + n + (" using (id)" if i else "") for i, n in enumerate(names))
+    cols = ", ".join(f"{S.shorten(S.normalize(D, f'{n}.prediction'), 500)} as {n}" for n in names)
+    return f"select id, {names[0]}.pos as pos, {cols} from {tables}"
+
+
+@query(_compare_sql("base", "sft", "dpo"))
 def three_way_compare(spark, sf):
-    return evaluate.compare({n: _system(spark, sf, p) for n, p in (("base", 2), ("sft", 3), ("dpo", 5))})
+    return evaluate.compare({n: _system(spark, sf, n) for n in ("base", "sft", "dpo")})
 
 
-@query(_compare_sql({"base": 2, "sft": 3, "dpo": 5, "v2": 7}))
+@query(_compare_sql("base", "sft", "dpo", "v2"))
 def four_way_compare(spark, sf):
-    return evaluate.compare({n: _system(spark, sf, p) for n, p in (("base", 2), ("sft", 3), ("dpo", 5), ("v2", 7))})
+    return evaluate.compare({n: _system(spark, sf, n) for n in ("base", "sft", "dpo", "v2")})
 
 
-@query("select cast(doc_id as varchar) id, text a_prediction, text b_prediction, '' winner, '' reason from documents where doc_id % 2 <> 0 and doc_id % 3 <> 0 order by md5('42-' || doc_id), cast(doc_id as varchar) limit 50")
+@query("select cast(doc_id as varchar) id, text a_prediction, html b_prediction, '' winner, '' reason from documents join pages on doc_id = page_id order by md5('42-' || doc_id), cast(doc_id as varchar) limit 50")
 def audit_sample(spark, sf):
-    return evaluate.audit_sheet(_system(spark, sf, 2), _system(spark, sf, 3), 50)
+    return evaluate.audit_sheet(_system(spark, sf, "base"), _system(spark, sf, "sft"), 50)
 
 
 WINNER = "case when quality = 1 and toxic = 0 then 'b' when quality = 0 then 'a' else 'tie' end"
@@ -449,12 +454,36 @@ def agent_combined_select(spark, sf):
     return df.select("id", "candidate_id", F.bround("combined_score", 6).alias("combined"))
 
 
-@query()
+STEPS = f"""{scored_sql('gen')},
+gone as (select *, {agent.missing(D, 'attributes', 'text', 'a5')} gone from scored), diag as (select *, {agent.issues(D, 'gone', 'text', 'a1', _duck_fixed4)} issues from gone), {AGENT_JUDGED}"""
+REWRITE = """forbidden_count > 0 or conflict_count > 0 or coverage < 0.75 or repetition_ratio > 0.12 or length not between 45 and 170
+ or judge_total < 20 or factual_consistency < 4 or compliance < 5 or attribute_coverage < 4 or len(issues) > 0"""
+RUN = f"""{AGENT}, {AGENT_JUDGED}, best as (select * from k qualify row_number() over (partition by id order by combined desc, cpos) = 1),
+again as (select id, input, attributes, a0, a1, a2, a3, a4, a5, 5 as cpos, candidate_id || '_rewrite' as candidate_id, {agent.rewrite(D, 'text', 'gone')} as text from best where {REWRITE}),
+new as (with gen as (select * from again), {STEPS} select * from k),
+two as (select id, candidate_id, 'mock_generator' as source, text, combined, issues, cpos from best union all select id, candidate_id, 'rewrite', text, combined, issues, cpos from new)"""
+
+
+@query(f"""with {RUN} select id, candidate_id, source, text, {S.rounded(D, 'combined', 6)} combined_score, array_to_string(issues, ';') issues,
+ 'parse,generate,rule_evaluate,diagnose,judge,select,' || case when id in (select id from again) then 'rewrite,rule_evaluate,diagnose,judge,select,' else '' end || 'finish' as trace
+ from two qualify row_number() over (partition by id order by combined desc, cpos) = 1""")
 def agent_run(spark, sf):
     return agent.run(requests(spark, sf)).select("id", "candidate_id", "source", "text", F.bround("combined_score", 6).alias("combined_score"), F.array_join("issues", ";").alias("issues"), "trace")
 
 
-@query()
+def _some(a: str, default: str) -> str:
+    values = S.each(D, f"{a}[1:3]", "x", "substr(x, instr(x, '=') + 1)")
+    return f"case when len({a}) > 0 then array_to_string({values}, '、') else '{default}' end"
+
+
+SERVED = f"""s0 as (select id, input, list_filter({agent.attributes(D, 'input')}, lambda x: not ends_with(x, '=')) a from ({REQUESTS})),
+s1 as (select *, list_filter(a, lambda x: substr(x, 1, instr(x, '=') - 1) not in ('类型', '材质', '颜色', '风格')) other, {', '.join(f"{agent.lookup(D, 'a', k)} a{i}" for i, k in enumerate(('类型', '颜色', '材质', '风格')))} from s0),
+s2 as (select *, {_some('other', '版型与细节')} ax, {_some('a', '核心卖点')} ah from s1),
+s3 as ({' union all '.join(f'select id, input, {i} as pos, {t} as text from s2' for i, t in enumerate(agent.api_drafts('a0', 'a1', 'a2', 'a3', 'ax', 'ah')))}),
+served as (select * from s3 qualify row_number() over (partition by id order by md5('42-' || id || '-' || pos)) <= 3), {scored_sql('served')}"""
+
+
+@query(f"with {SERVED} select id, pos, cast(row_number() over (partition by id order by total_score desc, pos) as int) as rank, text, total_score from scored")
 def api_generate_rank(spark, sf):
     return agent.serve(requests(spark, sf), 3).select("id", "pos", "rank", "text", "total_score")
 
