@@ -5,6 +5,9 @@ most t // 3 of them. Each block, padded to 23 bits, has the words of the perfect
 covering radius is 3, so a block lies within 3 bits of exactly one anchor, its home, and within 3 + t // 3 of the home of
 every block that it may be linked to. So a fingerprint is sent once to its home and to every anchor within that larger
 radius, and at each anchor those at home are compared with all that came. No pair is missed.
+
+near_groups() links by fingerprints alone. like_groups() takes what meets at the anchors as candidates and links two texts
+only if their sets of shingles are alike enough.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from millrace.llm.components import connected_components
 GENERATOR, WIDTH, CHECKS, RADIUS = 0xC75, 23, 11, 3  # x^11+x^10+x^6+x^5+x^4+x^2+1
 SPANS = ((0, 21), (21, 21), (42, 22))
 HOMES = 1 << 14
+FEW = 16
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -72,12 +76,12 @@ def fingerprints(texts: list[str | None], words: int) -> np.ndarray:
     return out
 
 
-def _fingerprint(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
+def _fingerprint(frames: Iterator[pd.DataFrame], words: int, carry: tuple[str, ...] = ()) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out = []
         for lo in range(0, len(frame), 256):
             out.append(fingerprints(list(frame["text"].iloc[lo : lo + 256]), words))
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": np.concatenate(out).view("i8") if out else np.zeros(0, "i8")})
+        yield pd.DataFrame({"doc_id": frame["doc_id"], **{c: frame[c] for c in carry}, "fp": np.concatenate(out).view("i8") if out else np.zeros(0, "i8")})
 
 
 def _blocks(fp: np.ndarray) -> list[np.ndarray]:
@@ -95,8 +99,8 @@ def _homes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _sent(frames: Iterator[pd.DataFrame], within: int, splits: dict[int, int]) -> Iterator[pd.DataFrame]:
     """Rows key, home, fp. A crowded anchor's homes are dealt over several keys, and what visits it goes to each."""
     for frame in frames:
-        for lo in range(0, len(frame), 20_000):
-            fp = frame["fp"].to_numpy("i8")[lo : lo + 20_000]
+        for lo in range(0, len(frame), 8_000):
+            fp = frame["fp"].to_numpy("i8")[lo : lo + 8_000]
             mixed = (fp.view("u8") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype("i8")
             for b, block in enumerate(_blocks(fp)):
                 i, word = anchors(block, RADIUS + within)
@@ -173,6 +177,129 @@ def _compared(frames: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFram
             yield pd.DataFrame({"a": a, "b": b})
 
 
+def local_pairs(fp: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within `bits` to be checked: all pairs of a set of up to FEW that links join; in a larger set, for each member
+    at home its nearest, the one it was found by, and the one with most neighbours at home, so a few a member."""
+    fp = fp.view("u8")
+    of = np.nonzero(home)[0]
+    linked = np.zeros(len(of), bool)
+    for lo in range(0, len(of), tile := max(1, 4_000_000 // max(1, len(fp)))):
+        linked[lo : lo + tile] = (np.bitwise_count(fp[of[lo : lo + tile], None] ^ fp[None, :]) <= bits).sum(1) > 1
+    rest, done, by = np.arange(len(fp)), np.zeros(len(fp), bool), np.arange(len(fp))
+    a, b = [], []
+    for x in of[linked].tolist():
+        if done[x]:
+            continue
+        done[x], queue, group = True, [x], [np.array([x])]
+        while queue:
+            at = queue.pop()
+            near = np.bitwise_count(fp[rest] ^ fp[at]) <= bits
+            new = rest[near]
+            new, rest = new[~done[new]], rest[~near]
+            done[new], by[new] = True, at
+            queue += new.tolist()
+            group.append(new)
+        g = np.concatenate(group)
+        if len(g) <= FEW:
+            i, j = np.nonzero(np.triu(np.bitwise_count(fp[g, None] ^ fp[None, g]) <= bits, 1))
+            a.append(g[i])
+            b.append(g[j])
+            continue
+        own, degree = g[home[g]], np.zeros(len(g), "i8")
+        for lo in range(0, len(own), tile := max(1, 4_000_000 // len(g))):
+            some = own[lo : lo + tile]
+            apart = np.bitwise_count(fp[some, None] ^ fp[None, g])
+            degree += (apart <= bits).sum(0)
+            apart[some[:, None] == g[None, :]] = 64
+            a += [some, some]
+            b += [g[apart.argmin(1)], by[some]]
+        hub = g[degree.argmax()]
+        near = own[np.bitwise_count(fp[own] ^ fp[hub]) <= bits]
+        a.append(near)
+        b.append(np.full(len(near), hub))
+    i, j = (np.concatenate(v) if v else np.zeros(0, "i8") for v in (a, b))
+    keep_ = i != j
+    return fp[i[keep_]].view("i8"), fp[j[keep_]].view("i8")
+
+
+def _candidates(frames: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
+    for frame in whole_groups(frames, "key"):
+        key, fp, home = frame["key"].to_numpy(), frame["fp"].to_numpy("i8"), frame["home"].to_numpy(bool)
+        ends = [*(np.nonzero(key[1:] != key[:-1])[0] + 1).tolist(), len(key)]
+        out, lo = [np.zeros((2, 0), "i8")], 0
+        for hi in ends:
+            if home[lo:hi].any() and hi - lo > 1:
+                out.append(np.array(local_pairs(fp[lo:hi], home[lo:hi], bits)))
+            lo = hi
+        pairs = np.concatenate(out, axis=1)
+        if pairs.shape[1]:
+            a, b = np.unique(np.sort(pairs, axis=0), axis=1)
+            yield pd.DataFrame({"a": a, "b": b})
+
+
+def shingle_set(text: bytes, words: int) -> set[bytes]:
+    w = text.lower().split()
+    return {b" ".join(w)} if 0 < len(w) < words else {b" ".join(w[i : i + words]) for i in range(len(w) - words + 1)}
+
+
+def _alike(frames: Iterator[pd.DataFrame], words: int, least: float) -> Iterator[pd.DataFrame]:
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+    for frame in frames:
+        ok = np.zeros(len(frame), bool)
+        last, of = None, set()
+        for i, (ta, x, y) in enumerate(zip(frame["ta"], frame["pa"], frame["pb"])):
+            if ta != last:
+                last, of = ta, shingle_set(z.decompress(x), words)
+            other = shingle_set(z.decompress(y), words)
+            both = len(of & other)
+            ok[i] = both >= least * (len(of) + len(other) - both)
+        yield pd.DataFrame({"a": frame["ta"][ok], "b": frame["tb"][ok]})
+
+
+def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=1)
+    for frame in frames:
+        yield pd.DataFrame({"t": frame["th"], "packed": [z.compress((x or "").encode("utf-8", "surrogatepass")) for x in frame["text"]]})
+
+
+def like_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 11) -> DataFrame:
+    """doc_id, fingerprint, component_id as near_groups(), but of links between texts whose sets of shingles have at least
+    `least` of their union in common, checked on whole texts; fingerprints within `bits` only propose pairs.
+
+    Texts of more than `bits` differing bits aren't linked directly, nor are all pairs of a large set of near copies checked
+    (see local_pairs); different texts of one fingerprint are checked against one of them. Two texts without words are alike; nulls, repeated rows and other columns as in near_groups().
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    marked = keep(rows.mapInPandas(lambda it: _fingerprint(it, words, ("th",)), "doc_id long, th long, fp long"), "fingerprints")
+    heads = keep(marked.groupBy("fp", "th").agg(F.min("doc_id").alias("first")), "heads")
+    ones = keep(heads.groupBy("fp").agg(F.min("th").alias("t0"), F.count("*").alias("texts")), "ones")
+    pairs = keep(_met(ones.select("fp"), bits).mapInPandas(lambda it: _candidates(it, bits), "a long, b long").distinct(), "pairs")
+    name = lambda c, t: ones.select(F.col("fp").alias(c), F.col("t0").alias(t))
+    same = heads.join(ones.where("texts > 1"), "fp").where("th <> t0").select(F.col("t0").alias("ta"), F.col("th").alias("tb"))
+    edges = keep(pairs.join(name("a", "ta"), "a").join(name("b", "tb"), "b").select("ta", "tb").union(same), "edges")
+    ends = edges.select(F.col("ta").alias("th")).union(edges.select("tb")).distinct()
+    packed = keep(rows.select("th", "text").join(ends, "th", "left_semi").mapInPandas(_packed, "t long, packed binary").dropDuplicates(["t"]), "texts")
+    side = lambda t, p: packed.select(F.col("t").alias(t), F.col("packed").alias(p))
+    met = edges.join(side("ta", "pa"), "ta").join(side("tb", "pb"), "tb").select("ta", "tb", "pa", "pb")
+    found = connected_components(met.mapInPandas(lambda it: _alike(it, words, least), "a long, b long"))
+    tagged = keep(heads.join(found, F.col("th") == F.col("node"), "left").select("th", "first", F.coalesce("component", "th").alias("component")), "tagged")
+    lowest = tagged.groupBy("component").agg(F.min("first").alias("component_id"))
+    of = tagged.join(lowest, "component").select("th", "component_id")
+    return marked.join(of, "th").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _met(fps: DataFrame, bits: int) -> DataFrame:
+    """Rows key, home, fp of different fingerprints, sorted by key, all of a key in one task."""
+    n = fps.mapInPandas(_homes, "anchor int, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > HOMES)
+    splits = {r.anchor: -(-r.n // HOMES) for r in n.collect()}  # 3 x 4096 anchors at most
+    sent = fps.mapInPandas(lambda it: _sent(it, bits // 3, splits), "key long, home boolean, fp long")
+    return sent.repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key")
+
+
 def near_groups(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links, itself included).
 
@@ -183,10 +310,7 @@ def near_groups(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     """
     marked = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda it: _fingerprint(it, words), "doc_id long, fp long"), "fingerprints")
     heads = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "heads")
-    n = heads.select("fp").mapInPandas(_homes, "anchor int, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > HOMES)
-    splits = {r.anchor: -(-r.n // HOMES) for r in n.collect()}  # 3 x 4096 anchors at most
-    sent = heads.select("fp").mapInPandas(lambda it: _sent(it, bits // 3, splits), "key long, home boolean, fp long")
-    met = sent.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key")
+    met = _met(heads.select("fp"), bits)
     links = met.mapInPandas(lambda it: _compared(it, bits), "a long, b long")
     found = connected_components(links)
     tagged = heads.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))

@@ -157,6 +157,48 @@ def test_simhash(docs, words, bits):
     assert sorted(((r.doc_id is None, r.doc_id or 0), r.fingerprint, r.component_id) for r in got) == want
 
 
+def likeness(a, b, words=5):
+    x, y = (simhash.shingle_set((t or "").encode(), words) for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def test_like_groups(docs):
+    """Links of all texts that are alike and within the bits, no other ones."""
+    rows = plain(docs)
+    fps = {t: brute_fingerprint(t, 5) for _, t in rows}
+    texts = list(fps)
+    root = {t: t for t in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            if (fps[a] ^ fps[b]).bit_count() <= 11 and likeness(a, b) >= 0.8:
+                root[find(a)] = find(b)
+    least = defaultdict(list)
+    for i, t in rows:
+        least[find(t)] += [i] if i is not None else []
+    want = sorted(((i is None, i or 0), f"{fps[t]:016x}", min(least[find(t)], default=-1)) for i, t in rows)
+    got = simhash.like_groups(docs).collect()
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.fingerprint, -1 if r.component_id is None else r.component_id) for r in got) == want
+
+
+def test_like_groups_of_many_copies(spark):
+    r, base = random.Random(5), sentence(9, 400).split()
+    texts = [" ".join(base)]
+    for _ in range(60):
+        w = list(base)
+        for _ in range(3):
+            w[r.randrange(len(w))] = sentence(r.random(), 1)
+        texts.append(" ".join(w))
+    texts += [sentence(100 + i, 50) for i in range(40)]
+    got = {x.doc_id: x.component_id for x in simhash.like_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(got[i] == 0 for i in range(61)) >= 58 and all(got[i] == i for i in range(61, 101))
+
+
 @pytest.mark.parametrize("bits", [4, 8])
 def test_anchors_miss_no_link(bits):
     r = random.Random(0)
@@ -179,6 +221,7 @@ def test_anchors_miss_no_link(bits):
 
 def test_no_documents(none):
     assert simhash.near_groups(none).count() == 0
+    assert simhash.like_groups(none).count() == 0
     assert suffixes.remove_repeats(none).count() == 0
     assert sharding.assign(none).count() == 0
     assert minhash.compare_with_edits(none).count() == 0
