@@ -13,7 +13,7 @@ from millrace.llm import mixing, packing, quality, simhash, suffixes
 from millrace.llm.common import keep, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-NEAR_WORDS, NEAR_BITS = 5, 8
+NEAR_WORDS, NEAR_LIKENESS, NEAR_BITS = 5, 0.8, 11
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that of the smallest doc_id."""
-    kept = simhash.near_groups(docs, words=NEAR_WORDS, bits=NEAR_BITS).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = simhash.like_groups(docs, words=NEAR_WORDS, least=NEAR_LIKENESS, bits=NEAR_BITS).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     out = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     return out.dropDuplicates(["doc_id"])
 
