@@ -97,7 +97,25 @@ def _homes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sent(frames: Iterator[pd.DataFrame], within: int, splits: dict[int, int]) -> Iterator[pd.DataFrame]:
-    """Rows key, home, fp. A crowded anchor's homes are dealt over several keys, and what visits it goes to each."""
+    """Rows key, home, fp of _placed()."""
+    for key, home, fp in _placed(frames, within, splits):
+        yield pd.DataFrame({"key": key, "home": home, "fp": fp})
+
+
+def _sent_together(frames: Iterator[pd.DataFrame], within: int, splits: dict[int, int]) -> Iterator[pd.DataFrame]:
+    """Rows key, homes, others: the fingerprints of a batch that meet at a key, 8 bytes each, so that few rows are shuffled."""
+    for key, home, fp in _placed(frames, within, splits):
+        order = np.lexsort((~home, key))
+        key, home, data = key[order], home[order], fp[order].astype("<i8").tobytes()
+        lo = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1]) if len(key) else np.zeros(0, "i8")
+        cut = (lo + (np.add.reduceat(home.astype("i8"), lo) if len(lo) else lo)).tolist()
+        hi = [*lo[1:].tolist(), len(key)]
+        at = list(zip(lo.tolist(), cut, hi))
+        yield pd.DataFrame({"key": key[lo], "homes": [data[8 * a : 8 * b] for a, b, _ in at], "others": [data[8 * b : 8 * c] for _, b, c in at]})
+
+
+def _placed(frames: Iterator[pd.DataFrame], within: int, splits: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """key, home, fp. A crowded anchor's homes are dealt over several keys, and what visits it goes to each."""
     for frame in frames:
         for lo in range(0, len(frame), 8_000):
             fp = frame["fp"].to_numpy("i8")[lo : lo + 8_000]
@@ -112,7 +130,7 @@ def _sent(frames: Iterator[pd.DataFrame], within: int, splits: dict[int, int]) -
                 rep = np.repeat(np.arange(len(anchor)), n)
                 salt = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
                 at_home = home[rep] & (mixed[i[rep]] % n[rep] == salt)
-                yield pd.DataFrame({"key": (anchor[rep] << 20) + salt, "home": at_home, "fp": fp[i[rep]]})
+                yield (anchor[rep] << 20) + salt, at_home, fp[i[rep]]
 
 
 def local_links(fp: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,13 +241,15 @@ def local_pairs(fp: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray
 
 
 def _candidates(frames: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
-    for frame in whole_groups(frames, "key"):
-        key, fp, home = frame["key"].to_numpy(), frame["fp"].to_numpy("i8"), frame["home"].to_numpy(bool)
+    for frame in whole_groups(frames, "key", 256):
+        key = frame["key"].to_numpy()
         ends = [*(np.nonzero(key[1:] != key[:-1])[0] + 1).tolist(), len(key)]
         out, lo = [np.zeros((2, 0), "i8")], 0
         for hi in ends:
-            if home[lo:hi].any() and hi - lo > 1:
-                out.append(np.array(local_pairs(fp[lo:hi], home[lo:hi], bits)))
+            homes, others = (b"".join(frame[c].iloc[lo:hi]) for c in ("homes", "others"))
+            fp = np.frombuffer(homes + others, "<i8").astype("i8")
+            if homes and len(fp) > 1:
+                out.append(np.array(local_pairs(fp, np.arange(len(fp)) < len(homes) // 8, bits)))
             lo = hi
         pairs = np.concatenate(out, axis=1)
         if pairs.shape[1]:
@@ -277,7 +297,7 @@ def like_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int =
     marked = keep(rows.mapInPandas(lambda it: _fingerprint(it, words, ("th",)), "doc_id long, th long, fp long"), "fingerprints")
     heads = keep(marked.groupBy("fp", "th").agg(F.min("doc_id").alias("first")), "heads")
     ones = keep(heads.groupBy("fp").agg(F.min("th").alias("t0"), F.count("*").alias("texts")), "ones")
-    pairs = keep(_met(ones.select("fp"), bits).mapInPandas(lambda it: _candidates(it, bits), "a long, b long").distinct(), "pairs")
+    pairs = keep(_met(ones.select("fp"), bits, _sent_together, "key long, homes binary, others binary").mapInPandas(lambda it: _candidates(it, bits), "a long, b long").distinct(), "pairs")
     name = lambda c, t: ones.select(F.col("fp").alias(c), F.col("t0").alias(t))
     same = heads.join(ones.where("texts > 1"), "fp").where("th <> t0").select(F.col("t0").alias("ta"), F.col("th").alias("tb"))
     edges = keep(pairs.join(name("a", "ta"), "a").join(name("b", "tb"), "b").select("ta", "tb").union(same), "edges")
@@ -292,11 +312,11 @@ def like_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int =
     return marked.join(of, "th").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _met(fps: DataFrame, bits: int) -> DataFrame:
-    """Rows key, home, fp of different fingerprints, sorted by key, all of a key in one task."""
+def _met(fps: DataFrame, bits: int, send, schema: str) -> DataFrame:
+    """What `send` makes of different fingerprints, sorted by key, all of a key in one task."""
     n = fps.mapInPandas(_homes, "anchor int, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > HOMES)
     splits = {r.anchor: -(-r.n // HOMES) for r in n.collect()}  # 3 x 4096 anchors at most
-    sent = fps.mapInPandas(lambda it: _sent(it, bits // 3, splits), "key long, home boolean, fp long")
+    sent = fps.mapInPandas(lambda it: send(it, bits // 3, splits), schema)
     return sent.repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key")
 
 
@@ -310,7 +330,7 @@ def near_groups(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     """
     marked = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda it: _fingerprint(it, words), "doc_id long, fp long"), "fingerprints")
     heads = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "heads")
-    met = _met(heads.select("fp"), bits)
+    met = _met(heads.select("fp"), bits, _sent, "key long, home boolean, fp long")
     links = met.mapInPandas(lambda it: _compared(it, bits), "a long, b long")
     found = connected_components(links)
     tagged = heads.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
