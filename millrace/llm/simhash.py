@@ -29,6 +29,7 @@ GENERATOR, WIDTH, CHECKS, RADIUS = 0xC75, 23, 11, 3  # x^11+x^10+x^6+x^5+x^4+x^2
 SPANS = ((0, 21), (21, 21), (42, 22))
 HOMES = 1 << 14
 FEW = 16
+SKETCH = 512
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -195,16 +196,17 @@ def _compared(frames: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFram
             yield pd.DataFrame({"a": a, "b": b})
 
 
-def local_pairs(fp: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within `bits` to be checked: all pairs of a set of up to FEW that links join; in a larger set, for each member
-    at home its nearest, the one it was found by, and the one with most neighbours at home, so a few a member."""
+def local_pairs(fp: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Pairs within `bits` to be checked first: all pairs of a set of up to FEW that links join; in a larger set, for each
+    member at home its nearest, the one it was found by, and the one with most neighbours at home, so a few a member. Last
+    the indices of those larger sets, whose other pairs are left to _open_pairs()."""
     fp = fp.view("u8")
     of = np.nonzero(home)[0]
     linked = np.zeros(len(of), bool)
     for lo in range(0, len(of), tile := max(1, 4_000_000 // max(1, len(fp)))):
         linked[lo : lo + tile] = (np.bitwise_count(fp[of[lo : lo + tile], None] ^ fp[None, :]) <= bits).sum(1) > 1
     rest, done, by = np.arange(len(fp)), np.zeros(len(fp), bool), np.arange(len(fp))
-    a, b = [], []
+    a, b, crowds = [], [], []
     for x in of[linked].tolist():
         if done[x]:
             continue
@@ -231,16 +233,18 @@ def local_pairs(fp: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray
             apart[some[:, None] == g[None, :]] = 64
             a += [some, some]
             b += [g[apart.argmin(1)], by[some]]
+        crowds.append(g[home[g] | (degree > 0)])
         hub = g[degree.argmax()]
         near = own[np.bitwise_count(fp[own] ^ fp[hub]) <= bits]
         a.append(near)
         b.append(np.full(len(near), hub))
     i, j = (np.concatenate(v) if v else np.zeros(0, "i8") for v in (a, b))
     keep_ = i != j
-    return fp[i[keep_]].view("i8"), fp[j[keep_]].view("i8")
+    return fp[i[keep_]].view("i8"), fp[j[keep_]].view("i8"), crowds
 
 
 def _candidates(frames: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
+    """Pairs a, b to be checked first, with no key; and the members a of each larger set: its key, first member b, at home or not."""
     for frame in whole_groups(frames, "key", 256):
         key = frame["key"].to_numpy()
         ends = [*(np.nonzero(key[1:] != key[:-1])[0] + 1).tolist(), len(key)]
@@ -249,12 +253,71 @@ def _candidates(frames: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFr
             homes, others = (b"".join(frame[c].iloc[lo:hi]) for c in ("homes", "others"))
             fp = np.frombuffer(homes + others, "<i8").astype("i8")
             if homes and len(fp) > 1:
-                out.append(np.array(local_pairs(fp, np.arange(len(fp)) < len(homes) // 8, bits)))
+                home = np.arange(len(fp)) < len(homes) // 8
+                i, j, crowds = local_pairs(fp, home, bits)
+                out.append(np.array([i, j]))
+                for g in crowds:
+                    yield pd.DataFrame({"a": fp[g], "b": fp[g[0]], "key": pd.array([key[lo]] * len(g), "Int64"), "home": home[g]})
             lo = hi
         pairs = np.concatenate(out, axis=1)
         if pairs.shape[1]:
             a, b = np.unique(np.sort(pairs, axis=0), axis=1)
-            yield pd.DataFrame({"a": a, "b": b})
+            yield pd.DataFrame({"a": a, "b": b, "key": pd.array([None] * len(a), "Int64"), "home": False})
+
+
+def _sketched(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
+    """The number of shingles of each text, and of those whose hash falls on each of SKETCH bits whether it is odd.
+
+    Two sets differ in at least as many shingles as their sketches in bits, so a pair is ruled out without a miss.
+    """
+    for frame in frames:
+        sizes, sketches = [], []
+        for text in frame["text"]:
+            shingles = shingle_set((text or "").encode("utf-8", "surrogatepass"), words)
+            at = np.array([xxhash.xxh64_intdigest(x, 42) % SKETCH for x in shingles], "i8")
+            sizes.append(len(shingles))
+            sketches.append(np.packbits(np.bincount(at, minlength=SKETCH).astype("u1") & 1).tobytes())
+        yield pd.DataFrame({"th": frame["th"], "size": np.array(sizes, "i8"), "sketch": sketches})
+
+
+def open_pairs(frame: pd.DataFrame, bits: int, least: float, limit: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Indices of the pairs of a set, one at home, within `bits`, in different components and not ruled out by sketches;
+    for each member at home up to `limit` of them, the likeliest first, and whether any had more."""
+    fp, node, component, size = (frame[c].to_numpy("i8") for c in ("fp", "th", "component", "size"))
+    fp, home = fp.view("u8"), frame["home"].to_numpy(bool)
+    sketch = np.frombuffer(b"".join(frame["sketch"]), "u8").reshape(len(frame), -1)
+    a, b, more = [], [], False
+    of = np.nonzero(home)[0]
+    for lo in range(0, len(of), tile := max(1, 250_000 // len(fp))):
+        some = of[lo : lo + tile]
+        met = (np.bitwise_count(fp[some, None] ^ fp[None, :]) <= bits) & (component[some, None] != component[None, :])
+        met &= ~home[None, :] | (node[some, None] < node[None, :])
+        i, j = np.nonzero(met)
+        i = some[i]
+        apart = np.maximum(np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype="i8"), np.abs(size[i] - size[j]))
+        share = apart / np.maximum(size[i] + size[j], 1)
+        ok = share <= (1 - least) / (1 + least) + 1e-9
+        i, j, share = i[ok], j[ok], share[ok]
+        order = np.lexsort((share, i))
+        i, j = i[order], j[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        more = more or bool((rank >= limit).any())
+        a.append(i[rank < limit])
+        b.append(j[rank < limit])
+    flat = lambda v: np.concatenate(v) if v else np.zeros(0, "i8")
+    return flat(a), flat(b), more
+
+
+def _open_pairs(frames: Iterator[pd.DataFrame], bits: int, least: float, limit: int) -> Iterator[pd.DataFrame]:
+    for frame in whole_groups(frames, "key"):
+        key, th = frame["key"].to_numpy(), frame["th"].to_numpy("i8")
+        lo = 0
+        for hi in [*(np.nonzero(key[1:] != key[:-1])[0] + 1).tolist(), len(key)]:
+            i, j, more = open_pairs(frame.iloc[lo:hi], bits, least, limit)
+            x, y = th[lo:hi][i], th[lo:hi][j]
+            if len(x) or more:
+                yield pd.DataFrame({"ta": np.minimum(x, y), "tb": np.maximum(x, y), "more": more})
+            lo = hi
 
 
 def shingle_set(text: bytes, words: int) -> set[bytes]:
@@ -286,27 +349,63 @@ def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"t": frame["th"], "packed": [z.compress((x or "").encode("utf-8", "surrogatepass")) for x in frame["text"]]})
 
 
+def _unsettled(sets: DataFrame, tagged: DataFrame, rows: DataFrame, words: int, least: float, bits: int, limit: int) -> DataFrame:
+    """ta, tb, more: the open pairs of sets(set, fp, home) of more than one component. A large set's homes are dealt over several keys."""
+    members = keep(sets.join(tagged.select("fp", "th", "component"), "fp"), "members")
+    mixed = members.groupBy("set").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    live = keep(members.join(mixed.select("set", "n"), "set"), "live")
+    texts = rows.select("th", "text").join(live.select("th").distinct(), "th", "left_semi")
+    sketches = keep(texts.mapInPandas(lambda it: _sketched(it, words), "th long, size long, sketch binary").dropDuplicates(["th"]), "sketches")
+    keys = F.ceil(F.col("n") / HOMES).cast("int")
+    dealt = live.withColumn("salt", F.explode(F.sequence(F.lit(0), keys - 1))).withColumn("home", F.col("home") & (F.pmod(F.hash("th"), keys) == F.col("salt")))
+    met = dealt.join(sketches, "th").select(F.xxhash64("set", "salt").alias("key"), "fp", "th", "component", "home", "size", "sketch")
+    met = met.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
+    return met.mapInPandas(lambda it: _open_pairs(it, bits, least, limit), "ta long, tb long, more boolean")
+
+
+def _checked(rows: DataFrame, edges: DataFrame, words: int, least: float) -> DataFrame:
+    """Links a, b: the edges(ta, tb) whose whole texts are alike."""
+    ends = edges.select(F.col("ta").alias("th")).union(edges.select("tb")).distinct()
+    packed = keep(rows.select("th", "text").join(ends, "th", "left_semi").mapInPandas(_packed, "t long, packed binary").dropDuplicates(["t"]), "texts")
+    side = lambda t, p: packed.select(F.col("t").alias(t), F.col("packed").alias(p))
+    met = edges.join(side("ta", "pa"), "ta").join(side("tb", "pb"), "tb").select("ta", "tb", "pa", "pb")
+    return met.mapInPandas(lambda it: _alike(it, words, least), "a long, b long")
+
+
 def like_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 11) -> DataFrame:
     """doc_id, fingerprint, component_id as near_groups(), but of links between texts whose sets of shingles have at least
     `least` of their union in common, checked on whole texts; fingerprints within `bits` only propose pairs.
 
-    Texts of more than `bits` differing bits aren't linked directly, nor are all pairs of a large set of near copies checked
-    (see local_pairs); different texts of one fingerprint are checked against one of them. Two texts without words are alike; nulls, repeated rows and other columns as in near_groups().
+    Texts of more than `bits` differing bits aren't linked directly. In a large set of fingerprints a few pairs a member are
+    checked first; then all pairs of different components that their sketches don't rule out, each member's likeliest
+    first, with more a member each time until none had more, so only pairs that are joined already stay unchecked.
+    Different texts of one fingerprint are checked against one of them. Two texts without words are alike; nulls, repeated rows and other columns as in near_groups().
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     marked = keep(rows.mapInPandas(lambda it: _fingerprint(it, words, ("th",)), "doc_id long, th long, fp long"), "fingerprints")
     heads = keep(marked.groupBy("fp", "th").agg(F.min("doc_id").alias("first")), "heads")
     ones = keep(heads.groupBy("fp").agg(F.min("th").alias("t0"), F.count("*").alias("texts")), "ones")
-    pairs = keep(_met(ones.select("fp"), bits, _sent_together, "key long, homes binary, others binary").mapInPandas(lambda it: _candidates(it, bits), "a long, b long").distinct(), "pairs")
+    met = keep(_met(ones.select("fp"), bits, _sent_together, "key long, homes binary, others binary").mapInPandas(lambda it: _candidates(it, bits), "a long, b long, key long, home boolean"), "met")
+    pairs = met.where("key is null").select("a", "b").distinct()
+    sets = met.where("key is not null").select(F.xxhash64("key", "b").alias("set"), F.col("a").alias("fp"), "home")
     name = lambda c, t: ones.select(F.col("fp").alias(c), F.col("t0").alias(t))
     same = heads.join(ones.where("texts > 1"), "fp").where("th <> t0").select(F.col("t0").alias("ta"), F.col("th").alias("tb"))
-    edges = keep(pairs.join(name("a", "ta"), "a").join(name("b", "tb"), "b").select("ta", "tb").union(same), "edges")
-    ends = edges.select(F.col("ta").alias("th")).union(edges.select("tb")).distinct()
-    packed = keep(rows.select("th", "text").join(ends, "th", "left_semi").mapInPandas(_packed, "t long, packed binary").dropDuplicates(["t"]), "texts")
-    side = lambda t, p: packed.select(F.col("t").alias(t), F.col("packed").alias(p))
-    met = edges.join(side("ta", "pa"), "ta").join(side("tb", "pb"), "tb").select("ta", "tb", "pa", "pb")
-    found = connected_components(met.mapInPandas(lambda it: _alike(it, words, least), "a long, b long"))
-    tagged = keep(heads.join(found, F.col("th") == F.col("node"), "left").select("th", "first", F.coalesce("component", "th").alias("component")), "tagged")
+    edges = pairs.join(name("a", "ta"), "a").join(name("b", "tb"), "b").select("ta", "tb").union(same)
+    edges = keep(edges.select(F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb")), "edges")
+    found = connected_components(_checked(rows, edges, words, least))
+    tagged = keep(heads.join(found, F.col("th") == F.col("node"), "left").select("fp", "th", "first", F.coalesce("component", "th").alias("component")), "tagged")
+    limit, more = FEW, not sets.isEmpty()
+    while more:
+        proposed = keep(_unsettled(sets, tagged, rows, words, least, bits, limit), "proposed")
+        more, limit = not proposed.where("more").isEmpty(), 4 * limit
+        todo = keep(proposed.select("ta", "tb").distinct().join(edges, ["ta", "tb"], "left_anti"), "todo")
+        if todo.isEmpty():
+            continue
+        edges = edges.union(todo)
+        of = lambda t, c: tagged.select(F.col("th").alias(t), F.col("component").alias(c))
+        links = _checked(rows, todo, words, least).join(of("a", "ca"), "a").join(of("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        up = connected_components(links).withColumnRenamed("component", "root")
+        tagged = keep(tagged.join(up, F.col("component") == F.col("node"), "left").select("fp", "th", "first", F.coalesce("root", "component").alias("component")), "tagged")
     lowest = tagged.groupBy("component").agg(F.min("first").alias("component_id"))
     of = tagged.join(lowest, "component").select("th", "component_id")
     return marked.join(of, "th").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

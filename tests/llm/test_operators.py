@@ -199,6 +199,44 @@ def test_like_groups_of_many_copies(spark):
     assert sum(got[i] == 0 for i in range(61)) >= 58 and all(got[i] == i for i in range(61, 101))
 
 
+def like_components(rows):
+    """component_id of each row, of links of all texts that are alike and within 11 bits."""
+    fps = {t: brute_fingerprint(t, 5) for _, t in rows}
+    sets = {t: simhash.shingle_set((t or "").encode(), 5) for t in fps}
+    of = {t: {t} for t in fps}
+    for a in fps:
+        for b in fps:
+            if of[a] is not of[b] and (fps[a] ^ fps[b]).bit_count() <= 11 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                of[a] |= of[b]
+                for x in of[b]:
+                    of[x] = of[a]
+    least = {id(s): min((i for i, t in rows if t in s and i is not None), default=None) for s in of.values()}
+    return [(i, least[id(of[t])]) for i, t in rows]
+
+
+def got_components(spark, rows):
+    return sorted((r.doc_id, r.component_id) for r in simhash.like_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def with_edits(texts, seed, n=3):
+    """The texts, and near copies of them with one edit of n words."""
+    r, out = random.Random(seed), list(texts)
+    for i, t in enumerate(texts):
+        w = t.split()
+        at = r.randrange(len(w) - n)
+        w[at : at + n] = sentence(f"{seed} {i}", n).split()
+        out.append(" ".join(w))
+    return list(enumerate(out))
+
+
+def test_like_groups_in_crowds(spark):
+    """Unlike texts with much in common, within the bits of one another, and near copies of each."""
+    shared = sentence(77, 144)
+    rows = with_edits([shared + " " + sentence(1000 + i, 36) for i in range(100)], 5)
+    want = like_components(rows)
+    assert got_components(spark, rows) == sorted(want)
+
+
 @pytest.mark.parametrize("bits", [4, 8])
 def test_anchors_miss_no_link(bits):
     r = random.Random(0)
