@@ -377,17 +377,22 @@ def like_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int =
     `least` of their union in common, checked on whole texts; fingerprints within `bits` only propose pairs.
 
     Texts of more than `bits` differing bits aren't linked directly. In a large set of fingerprints a few pairs a member are
-    checked first; then all pairs of different components that their sketches don't rule out, each member's likeliest
-    first, with more a member each time until none had more, so only pairs that are joined already stay unchecked.
-    Different texts of one fingerprint are checked against one of them. Two texts without words are alike; nulls, repeated rows and other columns as in near_groups().
+    checked first, and of different texts of one fingerprint one against the others and the neighbours; then all pairs of
+    different components that their sketches don't rule out, each text's likeliest first, with more a text each time until
+    none had more, so only pairs that are joined already stay unchecked. Two texts without words are alike; nulls, repeated
+    rows and other columns as in near_groups().
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
     marked = keep(rows.mapInPandas(lambda it: _fingerprint(it, words, ("th",)), "doc_id long, th long, fp long"), "fingerprints")
     heads = keep(marked.groupBy("fp", "th").agg(F.min("doc_id").alias("first")), "heads")
     ones = keep(heads.groupBy("fp").agg(F.min("th").alias("t0"), F.count("*").alias("texts")), "ones")
     met = keep(_met(ones.select("fp"), bits, _sent_together, "key long, homes binary, others binary").mapInPandas(lambda it: _candidates(it, bits), "a long, b long, key long, home boolean"), "met")
-    pairs = met.where("key is null").select("a", "b").distinct()
-    sets = met.where("key is not null").select(F.xxhash64("key", "b").alias("set"), F.col("a").alias("fp"), "home")
+    pairs = keep(met.where("key is null").select("a", "b").distinct(), "pairs")
+    several = ones.where("texts > 1").select("fp")
+    linked = pairs.join(several, F.col("a") == F.col("fp"), "left_semi").union(pairs.join(several, F.col("b") == F.col("fp"), "left_semi")).distinct()
+    crowds = met.where("key is not null").select(F.xxhash64("key", "b").alias("set"), F.col("a").alias("fp"), "home")
+    ends = [linked.select(F.xxhash64("a", "b").alias("set"), F.col(c).alias("fp"), F.lit(c == "a").alias("home")) for c in "ab"]
+    sets = keep(crowds.union(several.select(F.xxhash64("fp").alias("set"), "fp", F.lit(True).alias("home"))).union(ends[0]).union(ends[1]), "sets")
     name = lambda c, t: ones.select(F.col("fp").alias(c), F.col("t0").alias(t))
     same = heads.join(ones.where("texts > 1"), "fp").where("th <> t0").select(F.col("t0").alias("ta"), F.col("th").alias("tb"))
     edges = pairs.join(name("a", "ta"), "a").join(name("b", "tb"), "b").select("ta", "tb").union(same)

@@ -237,6 +237,15 @@ def test_like_groups_in_crowds(spark):
     assert got_components(spark, rows) == sorted(want)
 
 
+@pytest.mark.parametrize("times", [(40,), (40, 12)])
+def test_like_groups_of_one_fingerprint(spark, times):
+    """Unlike texts, and near copies of each, that one repeated line gives the same or near fingerprints."""
+    line = sentence(5, 9) + "\n"
+    rows = with_edits([sentence(2000 + i, 60) + "\n" + line * times[i % len(times)] for i in range(30)], 6)
+    rows += [(100 + i, t) for i, t in rows[:3]]
+    assert got_components(spark, rows) == sorted(like_components(rows))
+
+
 @pytest.mark.parametrize("bits", [4, 8])
 def test_anchors_miss_no_link(bits):
     r = random.Random(0)
