@@ -24,10 +24,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the smallest doc_id."""
-    kept = simhash.like_groups(docs, words=NEAR_WORDS, least=NEAR_LIKENESS, bits=NEAR_BITS).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    """One row of each near-duplicate group: of the smallest doc_id (a null one only where there is no other), and of the
+    smallest text_hash among that doc_id's texts in the group. Groups are of texts, so rows that share a doc_id, or have none, stay
+    if their texts aren't near copies."""
+    groups = simhash.like_groups(docs, words=NEAR_WORDS, least=NEAR_LIKENESS, bits=NEAR_BITS)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("component_head"))).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    hashed = docs.select(*COLUMNS, simhash.text_hash().alias("text_hash"))
+    out = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash")), "left_semi")
+    return out.dropDuplicates(["text_hash"]).select(*COLUMNS)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Query, keep, partitions, table, whole_groups
@@ -372,8 +372,13 @@ def _checked(rows: DataFrame, edges: DataFrame, words: int, least: float) -> Dat
     return met.mapInPandas(lambda it: _alike(it, words, least), "a long, b long")
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def like_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 11) -> DataFrame:
-    """doc_id, fingerprint, component_id as near_groups(), but of links between texts whose sets of shingles have at least
+    """doc_id, fingerprint, component_id as near_groups(), text_hash, and component_head (the smallest text_hash of
+    component_id in the component, of a null one where it has no other), but of links between texts whose sets of shingles have at least
     `least` of their union in common, checked on whole texts; fingerprints within `bits` only propose pairs.
 
     Texts of more than `bits` differing bits aren't linked directly. In a large set of fingerprints a few pairs a member are
@@ -382,7 +387,7 @@ def like_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int =
     none had more, so only pairs that are joined already stay unchecked. Two texts without words are alike; nulls, repeated
     rows and other columns as in near_groups().
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), "text")
     marked = keep(rows.mapInPandas(lambda it: _fingerprint(it, words, ("th",)), "doc_id long, th long, fp long"), "fingerprints")
     heads = keep(marked.groupBy("fp", "th").agg(F.min("doc_id").alias("first")), "heads")
     ones = keep(heads.groupBy("fp").agg(F.min("th").alias("t0"), F.count("*").alias("texts")), "ones")
@@ -411,9 +416,9 @@ def like_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int =
         links = _checked(rows, todo, words, least).join(of("a", "ca"), "a").join(of("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         up = connected_components(links).withColumnRenamed("component", "root")
         tagged = keep(tagged.join(up, F.col("component") == F.col("node"), "left").select("fp", "th", "first", F.coalesce("root", "component").alias("component")), "tagged")
-    lowest = tagged.groupBy("component").agg(F.min("first").alias("component_id"))
-    of = tagged.join(lowest, "component").select("th", "component_id")
-    return marked.join(of, "th").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    head = tagged.groupBy("component").agg(F.min(F.struct(F.isnull("first").alias("none"), "first", "th")).alias("head"))
+    of = tagged.join(head, "component").select("th", F.col("head.first").alias("component_id"), F.col("head.th").alias("component_head"))
+    return marked.join(of, "th").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("th").alias("text_hash"), "component_head")
 
 
 def _met(fps: DataFrame, bits: int, send, schema: str) -> DataFrame:
