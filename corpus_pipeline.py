@@ -1,7 +1,8 @@
 """documents -> quality filter -> near-dedup -> removal of repeats -> mixture -> packed sequences.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents. ORACLE_SQL is None: SQL can't
-express the classifier, the suffix arrays or the tokenizer; tests hold each stage against a brute-force version.
+express the classifier, the suffix arrays or the tokenizer; tests hold near_dedup and the operators below the stages
+against brute-force versions, not the other stages or run().
 """
 
 from __future__ import annotations
