@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import bitplanes, chat, minhash, mixing, packing, quality, sharding, simhash, suffixes, topk
+from millrace.llm import bitplanes, chat, minhash, mixing, packing, quality, sharding, simhash, suffixes, tokens, topk
 from millrace.llm.common import table
 from millrace.llm.components import connected_components
 from millrace.llm.tokens import default_path, encoder
@@ -118,6 +118,30 @@ def test_encoder_equals_library():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids_of(t)[:-1] for t in texts]
 
 
+def test_encoder_equals_library_on_random_strings(monkeypatch):
+    """Marks, letters in and out of the ranges that go straight to the model, odd spaces, few words kept, small chunks."""
+    r = random.Random(1)
+    parts = [*"aBzre't. \n,1éÉÀÞßÿ÷×ñŸΣİ\u0301日!?-;(\"<|#\t\r\x1c\u3000\x85\xa0\x00", "'s", "'re", "ÿ.", "Ñ!", "#$", "9.", "ﬁ", "ǅ", "<|endoftext|>", "x" * 9, "y" * 17, "é" * 9]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(20_000)] + [sentence(4, 9000), "q" * 9000]
+    monkeypatch.setattr(tokens, "CHUNK", 5000)
+    ours = tokens.Encoder(default_path(), words_kept=300)
+    got = [x for lo in range(0, len(texts), 700) for x in ours.batch(texts[lo : lo + 700])]
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids_of(t)[:-1] for t in texts]
+    assert ours.words.now.words < 3000
+
+
+def test_encoder_of_another_file(tmp_path):
+    """A file whose words can't be encoded one by one: whole texts go through the library."""
+    import json
+
+    said = json.loads(open(default_path(), encoding="utf-8").read())
+    said["normalizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(said), encoding="utf-8")
+    ours = tokens.Encoder(str(tmp_path / "other.json"))
+    texts = ["Hello THERE", "", "a. b"]
+    assert [np.frombuffer(g, "<u4").tolist() for g in ours.batch(texts)] == [ours.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # 3
 
 
