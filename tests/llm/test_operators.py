@@ -590,3 +590,23 @@ def test_lengths_fill_windows():
     assert (fill == 2048).sum() >= len(fill) - 1 and fill.max() <= 2048
     cut = len(piece) - len(lengths)
     assert cut < 0.15 * len(lengths)  # the solved combinations, not cutting, fill the windows
+    assert len(packing.pack_lengths(lengths, passes=0)[0]) - len(lengths) > 1.5 * cut
+
+
+def test_counts_are_those_solved():
+    """Exact stock for a few combinations is found again; rounding keeps the sum and uses nothing whose count is 0."""
+    histogram = np.bincount([1000] * 7 + [1048] * 7 + [400] * 4 + [648] * 4 + [1000] * 4, minlength=2049)
+    rows = packing.combinations(histogram, 2048)
+    assert rows.tolist() == [[1000, 648, 400], [1048, 1000, 0]]
+    x = packing.solve(rows, histogram, close=1e-9)
+    assert np.abs(x - [4, 7]).max() < 0.1 and packing.rounded(x).tolist() == [4, 7]
+    assert packing.rounded(np.array([0.2, 0.2, 0.2, 0.0, 2.9])).tolist() == [0, 0, 1, 0, 3]
+    every = packing.combinations(np.ones(65, "i8"), 64, heads=64, most=10**6)
+    assert len(every) == len({tuple(sorted((a, b, 64 - a - b), reverse=True)) for a in range(1, 64) for b in range(0, 64 - a)})
+
+
+def test_little_padding(spark, sf):
+    """Whole tables: in each task at most one short sequence a block, which here is one a task."""
+    docs = table(spark, sf.replace("0.001", "0.01"), "documents").repartition(3)
+    out = packing.pack(docs).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert sum(r.n < 2048 for r in out) <= 3
