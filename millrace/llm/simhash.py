@@ -1,10 +1,11 @@
 """SimHash near-duplicates by anchor-point covering.
 
-A fingerprint's 64 bits fall into three blocks. If two fingerprints differ in at most t bits, some block differs in at
-most t // 3 of them. Each block, padded to 23 bits, has the words of the perfect binary Golay code as anchors: their
-covering radius is 3, so a block lies within 3 bits of exactly one anchor, its home, and within 3 + t // 3 of the home of
-every block that it may be linked to. So a fingerprint is sent once to its home and to every anchor within that larger
-radius, and at each anchor those at home are compared with all that came. No pair is missed.
+A fingerprint's 64 bits fall into three blocks. If two fingerprints differ in at most t bits, then for any radii whose sum
+is t - 2 some block differs in no more bits than its radius. Each block, padded to 23 bits, has the words of the perfect
+binary Golay code as anchors: their covering radius is 3, so a block lies within 3 bits of exactly one anchor, its home, and
+within 3 more than its radius of the home of every block that it may be linked to. So a fingerprint is sent once to its home
+and to every anchor within that larger distance, and at each anchor those at home are compared with all that came. No pair
+is missed.
 
 near_groups() links by fingerprints alone. like_groups() takes what meets at the anchors as candidates and links two texts
 only if their sets of shingles are alike enough.
@@ -27,8 +28,8 @@ from millrace.llm.components import connected_components
 
 GENERATOR, WIDTH, CHECKS, RADIUS = 0xC75, 23, 11, 3  # x^11+x^10+x^6+x^5+x^4+x^2+1
 SPANS = ((0, 21), (21, 21), (42, 22))
-HOMES = 1 << 14
-FEW = 16
+HOMES, BATCH = 1 << 14, 3_000
+FIRST = 16  # what open_pairs() gives a text in the first round; each later one gives four times as many, until none had more
 SKETCH = 512
 
 
@@ -39,6 +40,13 @@ def _syndrome(words: np.ndarray) -> np.ndarray:
     return words
 
 
+@lru_cache
+def radii(bits: int) -> tuple[int, ...]:
+    """Of the three blocks: two fingerprints that differ by more in each of them differ in more than `bits` bits."""
+    total = max(0, bits - len(SPANS) + 1)
+    return tuple(total // len(SPANS) + (i < total % len(SPANS)) for i in range(len(SPANS)))
+
+
 @lru_cache
 def _errors(radius: int) -> list[np.ndarray]:
     """For each syndrome the error words of at most that weight, the lightest first."""
@@ -97,13 +105,13 @@ def _homes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"anchor": at, "n": n})
 
 
-def _sent(frames: Iterator[pd.DataFrame], within: int, splits: dict[int, int]) -> Iterator[pd.DataFrame]:
+def _sent(frames: Iterator[pd.DataFrame], within: tuple[int, ...], splits: dict[int, int]) -> Iterator[pd.DataFrame]:
     """Rows key, home, fp of _placed()."""
     for key, home, fp in _placed(frames, within, splits):
         yield pd.DataFrame({"key": key, "home": home, "fp": fp})
 
 
-def _sent_together(frames: Iterator[pd.DataFrame], within: int, splits: dict[int, int]) -> Iterator[pd.DataFrame]:
+def _sent_together(frames: Iterator[pd.DataFrame], within: tuple[int, ...], splits: dict[int, int]) -> Iterator[pd.DataFrame]:
     """Rows key, homes, others: the fingerprints of a batch that meet at a key, 8 bytes each, so that few rows are shuffled."""
     for key, home, fp in _placed(frames, within, splits):
         order = np.lexsort((~home, key))
@@ -115,14 +123,14 @@ def _sent_together(frames: Iterator[pd.DataFrame], within: int, splits: dict[int
         yield pd.DataFrame({"key": key[lo], "homes": [data[8 * a : 8 * b] for a, b, _ in at], "others": [data[8 * b : 8 * c] for _, b, c in at]})
 
 
-def _placed(frames: Iterator[pd.DataFrame], within: int, splits: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _placed(frames: Iterator[pd.DataFrame], within: tuple[int, ...], splits: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """key, home, fp. A crowded anchor's homes are dealt over several keys, and what visits it goes to each."""
     for frame in frames:
-        for lo in range(0, len(frame), 8_000):
-            fp = frame["fp"].to_numpy("i8")[lo : lo + 8_000]
+        for lo in range(0, len(frame), BATCH):
+            fp = frame["fp"].to_numpy("i8")[lo : lo + BATCH]
             mixed = (fp.view("u8") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype("i8")
             for b, block in enumerate(_blocks(fp)):
-                i, word = anchors(block, RADIUS + within)
+                i, word = anchors(block, RADIUS + within[b])
                 home = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
                 anchor = word + (b << 12)
                 n = np.ones(len(anchor), "i8")
@@ -197,7 +205,7 @@ def _compared(frames: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFram
 
 
 def local_pairs(fp: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Pairs within `bits` to be checked first: all pairs of a set of up to FEW that links join; in a larger set, for each
+    """Pairs within `bits` to be checked first: all pairs of a set of up to FIRST that links join; in a larger set, for each
     member at home its nearest, the one it was found by, and the one with most neighbours at home, so a few a member. Last
     the indices of those larger sets, whose other pairs are left to _open_pairs()."""
     fp = fp.view("u8")
@@ -220,7 +228,7 @@ def local_pairs(fp: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray
             queue += new.tolist()
             group.append(new)
         g = np.concatenate(group)
-        if len(g) <= FEW:
+        if len(g) <= FIRST:
             i, j = np.nonzero(np.triu(np.bitwise_count(fp[g, None] ^ fp[None, g]) <= bits, 1))
             a.append(g[i])
             b.append(g[j])
@@ -376,12 +384,13 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def like_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 11) -> DataFrame:
+def like_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 14) -> DataFrame:
     """doc_id, fingerprint, component_id as near_groups(), text_hash, and component_head (the smallest text_hash of
     component_id in the component, of a null one where it has no other), but of links between texts whose sets of shingles have at least
     `least` of their union in common, checked on whole texts; fingerprints within `bits` only propose pairs.
 
-    Texts of more than `bits` differing bits aren't linked directly. In a large set of fingerprints a few pairs a member are
+    Texts of more than `bits` differing bits aren't linked directly: of two texts at a likeness of 0.8, whose fingerprints
+    differ in 10 bits on average, 14 bits find 19 of 20. Texts are told apart by a 64-bit hash. In a large set of fingerprints a few pairs a member are
     checked first, and of different texts of one fingerprint one against the others and the neighbours; then all pairs of
     different components that their sketches don't rule out, each text's likeliest first, with more a text each time until
     none had more, so only pairs that are joined already stay unchecked. Two texts without words are alike; nulls, repeated
@@ -404,7 +413,7 @@ def like_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int =
     edges = keep(edges.select(F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb")), "edges")
     found = connected_components(_checked(rows, edges, words, least))
     tagged = keep(heads.join(found, F.col("th") == F.col("node"), "left").select("fp", "th", "first", F.coalesce("component", "th").alias("component")), "tagged")
-    limit, more = FEW, not sets.isEmpty()
+    limit, more = FIRST, not sets.isEmpty()
     while more:
         proposed = keep(_unsettled(sets, tagged, rows, words, least, bits, limit), "proposed")
         more, limit = not proposed.where("more").isEmpty(), 4 * limit
@@ -425,7 +434,7 @@ def _met(fps: DataFrame, bits: int, send, schema: str) -> DataFrame:
     """What `send` makes of different fingerprints, sorted by key, all of a key in one task."""
     n = fps.mapInPandas(_homes, "anchor int, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > HOMES)
     splits = {r.anchor: -(-r.n // HOMES) for r in n.collect()}  # 3 x 4096 anchors at most
-    sent = fps.mapInPandas(lambda it: send(it, bits // 3, splits), schema)
+    sent = fps.mapInPandas(lambda it: send(it, radii(bits), splits), schema)
     return sent.repartition(partitions(fps.sparkSession), "key").sortWithinPartitions("key")
 
 
