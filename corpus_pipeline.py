@@ -14,7 +14,7 @@ from millrace.llm import mixing, packing, quality, simhash, suffixes
 from millrace.llm.common import keep, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-NEAR_WORDS, NEAR_LIKENESS, NEAR_BITS = 5, 0.8, 11
+NEAR_WORDS, NEAR_LIKENESS, NEAR_BITS = 5, 0.8, 14
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +29,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     smallest text_hash among that doc_id's texts in the group. Groups are of texts, so rows that share a doc_id, or have none, stay
     if their texts aren't near copies."""
     groups = simhash.like_groups(docs, words=NEAR_WORDS, least=NEAR_LIKENESS, bits=NEAR_BITS)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("component_head"))).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    heads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("component_head")))
+    kept = keep(heads.groupBy(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).agg(F.count("*").alias("n")), "heads")
     hashed = docs.select(*COLUMNS, simhash.text_hash().alias("text_hash"))
-    out = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash")), "left_semi")
-    return out.dropDuplicates(["text_hash"]).select(*COLUMNS)
+    of = lambda some: hashed.join(some, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash")), "left_semi")
+    # only rows that repeat both id and text need another shuffle
+    out = of(kept.where("n = 1")).union(of(kept.where("n > 1")).dropDuplicates(["text_hash"]))
+    return out.select(*COLUMNS)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
