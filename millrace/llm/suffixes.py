@@ -1,8 +1,8 @@
 """Removal of repeated 200-byte strings by suffix arrays that a two-stage sort builds.
 
 Every 200-byte string is filed under its smallest k-gram hash, so equal strings meet under the same hash at the same
-place within it. Neighbouring strings with one such k-gram form a run; a run travels as its hash, the hash of its bytes
-and its place. A run whose bytes occur twice is wholly repeated. Where different runs share a k-gram, their bytes are
+place within it. Neighbouring strings with one such k-gram form a run; a run travels as its hash, the 128-bit digest of its
+bytes (c, e) and its place. A run whose bytes occur twice is wholly repeated. Where different runs share a k-gram, their bytes are
 fetched and a suffix array over them decides, by adjacent common prefixes, which strings occur more than once.
 
 No task gets all of a crowded k-gram (more than CROWD rows and a quarter of a task's even share): its runs are dealt by
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from millrace.llm.common import Query, keep, partitions, table, whole_groups
 LENGTH, GRAM, CHUNK, TEXT, CROWD = 200, 64, 1 << 20, 400_000, 1_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
-RUN = "doc_id long, th long, start long, n int, h long, c long"
+RUN = "doc_id long, th long, start long, n int, h long, c long, e long"
 CONTEXT = "doc_id long, th long, start long, n int, place int, h long, c long, kind int, bytes binary"
 
 
@@ -57,17 +58,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def runs(data: np.ndarray, valid: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """start, strings, k-gram hash and byte hash of every run. valid: where a string of `length` bytes may start."""
+def runs(data: np.ndarray, valid: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start, strings and k-gram hash of every run. valid: where a string of `length` bytes may start."""
     width, n = length - gram + 1, len(data)
-    none = (np.zeros(0, "i8"),) * 4
+    none = (np.zeros(0, "i8"),) * 3
     if n < length or not valid.any():
         return none
     up, down = _tables_()
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, "u8")
         np.cumsum((data.astype("u8") + np.uint64(1)) * up[:n], out=total[1:])
-        span = lambda lo, hi: _mixed((total[hi] - total[lo]) * down[lo])
         grams = _mixed((total[gram:] - total[:-gram]) * down[: n + 1 - gram])
         at = np.arange(len(grams), dtype="u8")
         keyed = grams & ~np.uint64(CHUNK - 1) | at
@@ -86,7 +86,7 @@ def runs(data: np.ndarray, valid: np.ndarray, length: int, gram: int) -> tuple[n
             return none
         ends = ok & np.concatenate([first[1:] | ~ok[1:], [True]])
         strings = np.nonzero(ends)[0] + 1 - start
-        return start, strings, grams[where[start]], span(start, start + strings + length - 1)
+        return start, strings, grams[where[start]]
 
 
 def _runs(frames: Iterator[pd.DataFrame], length: int, gram: int) -> Iterator[pd.DataFrame]:
@@ -113,45 +113,51 @@ def _runs(frames: Iterator[pd.DataFrame], length: int, gram: int) -> Iterator[pd
 
 
 def _batch(batch: list[tuple[int, int, bytes]], ids, th: np.ndarray, length: int, gram: int) -> pd.DataFrame:
-    data = np.frombuffer(b"".join(b for *_, b in batch), "u1")
+    raw = b"".join(b for *_, b in batch)
+    data = np.frombuffer(raw, "u1")
     sizes = np.array([len(b) for *_, b in batch])
     begin = np.cumsum(sizes) - sizes
     valid = np.zeros(len(data), bool)
     for b, n in zip(begin.tolist(), sizes.tolist()):
         valid[b : b + max(0, n - length + 1)] = True
-    start, strings, h, c = runs(data, valid, length, gram)
+    start, strings, h = runs(data, valid, length, gram)
+    digests = b"".join([xxhash.xxh3_128_digest(raw[i:j]) for i, j in zip(start.tolist(), (start + strings + length - 1).tolist())])
+    c, e = np.frombuffer(digests, "<i8").reshape(-1, 2).T
     # a run never crosses documents: the last starts of a document aren't valid
     doc = np.searchsorted(begin, start, "right") - 1
     of, lo = np.array([i for i, *_ in batch]), np.array([x for _, x, _ in batch], "i8")
-    return pd.DataFrame({"doc_id": ids[of[doc]], "th": th[of[doc]], "start": start - begin[doc] + lo[doc], "n": strings.astype("i4"), "h": h.view("i8"), "c": c.view("i8")})
+    return pd.DataFrame({"doc_id": ids[of[doc]], "th": th[of[doc]], "start": start - begin[doc] + lo[doc], "n": strings.astype("i4"), "h": h.view("i8"), "c": c, "e": e})
 
 
 def _sorted_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of runs sorted by (h, c): kind 1: repeated as a whole; kind 2: one example of repeated bytes among different
+    """Of runs sorted by (h, c, e): kind 1: repeated as a whole; kind 2: one example of repeated bytes among different
     ones; kind 3: bytes that occur once among different ones. The rest goes. Holds one row more than a batch. Where the
     task has only a part of a k-gram's runs, the column several says whether all of them have different bytes."""
     held: pd.DataFrame | None = None
-    before_h = before_c = first_c = None
+    before = first = None  # h, c, e of the last row that was given out, and of the first one with its h
 
-    def out(frame: pd.DataFrame, next_h, next_c) -> pd.DataFrame:
-        nonlocal before_h, before_c, first_c
-        h, c, n = frame["h"].to_numpy(), frame["c"].to_numpy(), len(frame)
-        new_h = np.ones(n, bool)
+    def out(frame: pd.DataFrame, following: tuple | None) -> pd.DataFrame:
+        nonlocal before, first
+        h, c, e = (frame[x].to_numpy() for x in "hce")
+        n = len(frame)
+        new_h, new_c = np.ones(n, bool), np.ones(n, bool)
         new_h[1:] = h[1:] != h[:-1]
-        new_h[0] = before_h is None or h[0] != before_h
-        new_c = new_h.copy()
-        new_c[1:] |= c[1:] != c[:-1]
-        new_c[0] |= c[0] != before_c
-        follow_c = np.concatenate([~new_c[1:], [next_h == h[-1] and next_c == c[-1]]]).astype(bool)
-        follow_h = np.concatenate([~new_h[1:], [next_h == h[-1]]]).astype(bool)
+        new_c[1:] = new_h[1:] | (c[1:] != c[:-1]) | (e[1:] != e[:-1])
+        new_h[0] = before is None or h[0] != before[0]
+        new_c[0] = before != (h[0], c[0], e[0])
+        last = (h[-1], c[-1], e[-1])
+        follow_c = np.concatenate([~new_c[1:], [following == last]]).astype(bool)
+        follow_h = np.concatenate([~new_h[1:], [following is not None and following[0] == h[-1]]]).astype(bool)
         lead = np.maximum.accumulate(np.where(new_h, np.arange(n), -1))
-        firsts = np.where(lead >= 0, c[np.maximum(lead, 0)], first_c if first_c is not None else 0)
+        to = np.maximum(lead, 0)
+        unlike_first = (c[to] != c) | (e[to] != e)
+        if first is not None:
+            unlike_first = np.where(lead >= 0, unlike_first, (first[1] != c) | (first[2] != e))
         again = ~new_c | follow_c
-        last_c = ~follow_c
         told = frame["several"]
-        mixed = last_c & np.where(told.isna(), follow_h | (firsts != c), told.eq(True)).astype(bool)
+        mixed = ~follow_c & np.where(told.isna(), follow_h | unlike_first, told.eq(True)).astype(bool)
         kind1, kind2, kind3 = again, again & mixed, ~again & mixed
-        before_h, before_c, first_c = h[-1], c[-1], firsts[-1]
+        before, first = last, (h[lead[-1]], c[lead[-1]], e[lead[-1]]) if lead[-1] >= 0 else first
         frame = frame.drop(columns="several")
         return pd.concat([frame[m].assign(kind=k) for k, m in ((1, kind1), (2, kind2), (3, kind3))], ignore_index=True)
 
@@ -159,10 +165,10 @@ def _sorted_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not len(frame):
             continue
         if held is not None:
-            yield out(held, frame["h"].iloc[0], frame["c"].iloc[0])
+            yield out(held, tuple(frame[x].iloc[0] for x in "hce"))
         held = frame
     if held is not None:
-        yield out(held, None, None)
+        yield out(held, None)
 
 
 def two_stage_sort(data: np.ndarray, ends: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
@@ -306,7 +312,7 @@ def _cut(frames: Iterator[pd.DataFrame], whole: bool) -> Iterator[pd.DataFrame]:
                 at = max(at, hi)
                 removed += at
             kept = b"".join([*kept, text[at:]])
-            rows.append((len(text), removed, count, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if whole else None))
+            rows.append((len(text), removed, count, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if whole else None))
         out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
         yield pd.concat([frame.drop(columns=["packed", "spans"]), out if whole else out.drop(columns="kept_text")], axis=1)
 
@@ -381,19 +387,19 @@ def _kinds(found: DataFrame, many: int, crowd: int) -> DataFrame:
     slot = F.pmod("h", F.lit(slots))
     # a crowded k-gram's slot is crowded, so k-grams are counted in those slots alone
     full = keep(found.groupBy(slot.alias("slot")).count().where(F.col("count") > most).select("slot"), "slots")
-    hot = keep(found.join(F.broadcast(full), slot == F.col("slot"), "left_semi").groupBy("h").agg(F.count("*").alias("runs"), (F.min("c") < F.max("c")).alias("several")).where(F.col("runs") > most).select("h", "several"), "hot")
+    hot = keep(found.join(F.broadcast(full), slot == F.col("slot"), "left_semi").groupBy("h").agg(F.count("*").alias("runs"), ((F.min("c") < F.max("c")) | (F.min("e") < F.max("e"))).alias("several")).where(F.col("runs") > most).select("h", "several"), "hot")
     if hot.isEmpty():
         dealt = found.withColumn("several", F.lit(None).cast("boolean")).repartition(many, "h")
-        return keep(dealt.sortWithinPartitions("h", "c").mapInPandas(_sorted_runs, RUN + ", kind int"), "runs")
+        return keep(dealt.sortWithinPartitions("h", "c", "e").mapInPandas(_sorted_runs, RUN + ", kind int"), "runs")
     columns = found.columns
-    copies = found.join(F.broadcast(hot), "h").groupBy("h", "c", "several").agg(F.count("*").alias("runs"), F.min(F.struct("doc_id", "th", "start", "n")).alias("one"))
+    copies = found.join(F.broadcast(hot), "h").groupBy("h", "c", "e", "several").agg(F.count("*").alias("runs"), F.min(F.struct("doc_id", "th", "start", "n")).alias("one"))
     copies = keep(copies.where(F.col("runs") > most), "copies")
-    same = F.broadcast(copies.select("h", "c"))
-    rest = found.join(same, ["h", "c"], "left_anti").join(F.broadcast(hot), "h", "left").select(*columns, "several")
-    dealt = rest.repartition(many, F.when(F.col("several").isNull(), F.col("h")).otherwise(F.xxhash64("h", "c")))
-    kinds = dealt.sortWithinPartitions("h", "c").mapInPandas(_sorted_runs, RUN + ", kind int")
-    whole = found.join(same, ["h", "c"], "left_semi").select(*columns, F.lit(1).alias("kind"))
-    ones = copies.where("several").select("one.doc_id", "one.th", "one.start", "one.n", "h", "c", F.lit(2).alias("kind"))
+    same = F.broadcast(copies.select("h", "c", "e"))
+    rest = found.join(same, ["h", "c", "e"], "left_anti").join(F.broadcast(hot), "h", "left").select(*columns, "several")
+    dealt = rest.repartition(many, F.when(F.col("several").isNull(), F.col("h")).otherwise(F.xxhash64("h", "c", "e")))
+    kinds = dealt.sortWithinPartitions("h", "c", "e").mapInPandas(_sorted_runs, RUN + ", kind int")
+    whole = found.join(same, ["h", "c", "e"], "left_semi").select(*columns, F.lit(1).alias("kind"))
+    ones = copies.where("several").select("one.doc_id", "one.th", "one.start", "one.n", "h", "c", "e", F.lit(2).alias("kind"))
     return keep(kinds.union(whole).union(ones), "runs")
 
 
@@ -445,8 +451,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
 
     Removed is every byte covered by a string of `length` bytes that also starts elsewhere, in this document or another;
     strings are judged on the input, and matches never cross documents. A null text is an empty one; texts shorter than
-    `length` stay whole. Repeated rows, and rows with a null doc_id, are documents like any other. kept_text has U+FFFD
-    where a removed span cut a character in two. No rows give no rows; columns not in carry are ignored.
+    `length` stay whole. Repeated rows, and rows with a null doc_id, are documents like any other. kept_text lacks
+    what a removed span left of a character that it cut in two. No rows give no rows; columns not in carry are ignored.
     """
     kept = {c: f"carry_{i}" for i, c in enumerate(carry)}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text", *(F.col(f"`{c}`").alias(x) for c, x in kept.items()))
