@@ -2,8 +2,9 @@
 
 Texts fall into ATOMS buckets by the first hex digits of their MD5, so equal texts share one. The ordered bucket sizes,
 never more than ATOMS, are all that the driver sees: it binary-searches the smallest capacity for which a greedy pass
-needs no more than the wanted shards, and cuts there, evening out what the capacity leaves open. Slots come from counts
-by slice of a bucket, so that neither a hot text nor a large shard is numbered in one task.
+needs no more than the wanted shards, and cuts there, evening out what the capacity leaves open. So the capacity is the least
+over buckets; a bucket holds one 65,536th of the texts. Slots come from counts by slice of a bucket, so that neither a hot
+text nor a large shard is numbered in one task; rows that agree in id, size and CRC are counted before any is numbered.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import Query, keep, table
 
-DIGITS, SHARDS, ROW_BYTES, SLICE = 4, 40, 16, 4096
+DIGITS, SHARDS, ROW_BYTES, SLICE, RUN = 4, 40, 16, 512, 1 << 16
 ATOMS = 16**DIGITS
 
 
@@ -57,13 +58,14 @@ def _share(sizes: list[int], shards: int) -> float:
 def cuts(sizes: list[int], shards: int) -> list[int]:
     """Shard of each atom: contiguous, none above the smallest capacity, and as even as that leaves them."""
     capacity, sums = smallest_capacity(sizes, shards), [0, *accumulate(sizes)]
-    even = _share(sizes, shards) if sizes else 0
     out, shard, used = [], 0, 0
+    even = _share(sizes, shards) if sizes else 0
     for i, s in enumerate(sizes):
         left = shards - shard - 1
         full = used + s > capacity or used > 0 and used + s - even > even - used
         if used and full and left > 0 and needed(sums, capacity, i) <= left:
             shard, used = shard + 1, 0
+            even = _share(sizes[i:], left)  # what is over or short is shared by all that follow
         out.append(shard)
         used += s
     return out
@@ -89,17 +91,21 @@ def assign(docs: DataFrame, shards: int = SHARDS, row_bytes: int = ROW_BYTES) ->
         before = before if shard == last else 0
         plan.append((a, shard, before, -(-found[a].n // SLICE)))
         before, last = before + found[a].n, shard
-    plan = spark.createDataFrame(plan, "atom int, shard int, before long, slices long")
-    dealt = rows.join(F.broadcast(plan), "atom").withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(7)), "slices"))  # ATOMS rows at most
-    if any(r.n > SLICE for r in found.values()):
-        # equal ids and texts would share a slice: deal those, too, by their place in the table
-        dealt = dealt.withColumn("slice", F.when(F.col("slices") > 1, F.pmod(F.col("slice") + F.monotonically_increasing_id(), "slices")).otherwise(F.col("slice")))
+    plan = spark.createDataFrame(plan, "atom int, shard int, before long, slices long")  # ATOMS rows at most
+    same = rows.groupBy("atom", "doc_id", "text_crc32", "size").agg(F.count("*").alias("n"))
+    dealt = same.join(F.broadcast(plan), "atom").withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(7)), "slices"))
     dealt = keep(dealt, "dealt")
-    counts = dealt.groupBy("atom", "slice").agg(F.count("*").alias("n"))
-    offsets = counts.select(F.col("atom").alias("atom_"), F.col("slice").alias("slice_"), (F.sum("n").over(W.partitionBy("atom").orderBy("slice")) - F.col("n")).alias("offset"))
-    within = F.row_number().over(W.partitionBy("atom", "slice").orderBy("doc_id", "text_crc32"))
-    numbered = dealt.withColumn("nth", within).join(offsets, (F.col("atom") == F.col("atom_")) & (F.col("slice") == F.col("slice_")))
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("offset") + F.col("nth") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    counts = dealt.groupBy("atom", "slice").agg(F.sum("n").alias("rows"))
+    offsets = counts.select(F.col("atom").alias("atom_"), F.col("slice").alias("slice_"), (F.sum("rows").over(W.partitionBy("atom").orderBy("slice")) - F.col("rows")).alias("offset"))
+    within = F.sum("n").over(W.partitionBy("atom", "slice").orderBy("doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
+    numbered = dealt.withColumn("within", within).join(offsets, (F.col("atom") == F.col("atom_")) & (F.col("slice") == F.col("slice_")))
+    numbered = keep(numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("offset") + F.col("within")).alias("first"), "n"), "numbered")
+    few = numbered.where(F.col("n") <= RUN)
+    # very many equal rows are dealt over tasks in runs
+    runs = numbered.where(F.col("n") > RUN).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN)))).repartition("run")
+    runs = runs.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("run") * RUN).alias("first"), F.least(F.col("n") - F.col("run") * RUN, F.lit(RUN).cast("long")).alias("n"))
+    each = few.union(runs).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return each.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("nth")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_sharding(spark, sf_dir):
