@@ -1,8 +1,10 @@
 """Chat formatting in budgeted windows.
 
-A turn is written as <|im_start|>role NEWLINE text <|im_end|> NEWLINE. Prefix sums of the turns' tokens cut a conversation
-into turn-aligned windows within a budget. Each later window starts with the system turn and as many of the last turns as
-fit the history limit; what is repeated is masked, and of the new turns the assistant's texts carry the loss.
+A turn is written as <|im_start|>role NEWLINE text <|im_end|> NEWLINE. Prefix sums of the turns' tokens, counted by a
+tokenizer, cut a conversation into turn-aligned windows within a budget. Each later window starts with the system turn and as
+many of the last turns as fit the history limit and the budget; what is repeated is masked, and of the new turns the
+assistant's texts carry the loss. Where a turn leaves no room for history, that goes first, then the system turn; only a turn
+that is itself longer than the budget overruns it, in a window of its own.
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Query, keep, partitions, table
+from millrace.llm.tokens import default_path, encoder
 
 START, END = "<|im_start|>", "<|im_end|>"
-BUDGET, HISTORY = 1024, 256
+BUDGET, HISTORY, MARKS = 1024, 256, 2
 WINDOWS = "conv_id long, window long, n_turns int, n_repeated int, n_tokens long, formatted string, loss array<struct<lo:int,hi:int>>"
-_TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 def escape(text: str) -> str:
@@ -41,9 +43,10 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def tokens(text: str) -> int:
-    """Words and marks of a text, and four for the turn's marks."""
-    return sum(1 for _ in _TOKEN.finditer(text)) + 4
+def tokens(turns: list[tuple[str, str]], path: str) -> list[int]:
+    """Tokens of each turn (role, text) as it is written: ids of the role and the text, and one for each mark."""
+    ids = encoder(path).batch([x for role, text in turns for x in (escape_role(role), escape(text))])
+    return [(len(r) + len(t)) // 4 + MARKS for r, t in zip(ids[::2], ids[1::2])]
 
 
 def _write(conv, window: int, repeated: list, turns: list) -> tuple:
@@ -59,21 +62,21 @@ def _write(conv, window: int, repeated: list, turns: list) -> tuple:
 
 
 def windows(turns: Iterator[tuple], budget: int, history: int) -> Iterator[tuple]:
-    """turns: conversation, role, text, each conversation's together and in order. Holds a window and its history."""
+    """turns: conversation, role, text, tokens, each conversation's together and in order. Holds a window and its history."""
     conv: object = windows
     number, system, repeated, new, used = 0, None, [], [], 0
     recent: deque = deque()
-    for c, role, text in turns:
+    for c, role, text, size in turns:
         if c != conv:
             if new:
                 yield _write(conv, number, repeated, new)
             conv, number, system, repeated, new, used = c, 0, None, [], [], 0
             recent.clear()
-        turn = (role, text, tokens(text))
+        turn = (role, text, size)
         if new and used + turn[2] > budget:
             yield _write(conv, number, repeated, new)
             number += 1
-            head = [system] if system else []
+            head = [system] if system and system[2] + turn[2] <= budget else []
             room = min(history, budget - turn[2] - sum(t[2] for t in head))
             past: list = []
             for t in reversed(recent):
@@ -93,11 +96,14 @@ def windows(turns: Iterator[tuple], budget: int, history: int) -> Iterator[tuple
         yield _write(conv, number, repeated, new)
 
 
-def _format(frames: Iterator[pd.DataFrame], budget: int, history: int) -> Iterator[pd.DataFrame]:
+def _format(frames: Iterator[pd.DataFrame], budget: int, history: int, path: str) -> Iterator[pd.DataFrame]:
     def turns() -> Iterator[tuple]:
         for frame in frames:
-            for conv, role, text in zip(frame["conv_id"].array, frame["role"], frame["text"]):
-                yield None if pd.isna(conv) else int(conv), role or "", text or ""
+            for lo in range(0, len(frame), 256):
+                some = frame.iloc[lo : lo + 256]
+                says = [(role or "", text or "") for role, text in zip(some["role"], some["text"])]
+                for conv, turn, n in zip(some["conv_id"].array, says, tokens(says, path)):
+                    yield None if pd.isna(conv) else int(conv), *turn, n
 
     names, held, size = ["conv_id", "window", "n_turns", "n_repeated", "n_tokens", "formatted", "loss"], [], 0
     frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
@@ -111,17 +117,18 @@ def _format(frames: Iterator[pd.DataFrame], budget: int, history: int) -> Iterat
         yield frame(held)
 
 
-def format_chats(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def format_chats(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer: str | None = None) -> DataFrame:
     """conv_id, window, n_turns, n_repeated, n_tokens, formatted, loss (spans of code points with loss, escapes included).
 
     Rows go by turn (null first), then role and text where turns tie, so repeated rows are turns of their own. A null text
-    or role is an empty one; all rows with a null conv_id are one conversation. A turn longer than the budget has a window
-    with the system turn alone. A conversation streams through one task, which holds a window and its history. No rows
-    give no rows; other columns are ignored.
+    or role is an empty one; all rows with a null conv_id are one conversation. A window keeps to the budget unless its only turn
+    is longer. A conversation streams through one task, which holds a window and its history. No rows give no rows; other
+    columns are ignored.
     """
+    path = tokenizer or default_path()
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     rows = rows.repartition(partitions(conversations.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInPandas(lambda it: _format(it, budget, history), WINDOWS)
+    return rows.select("conv_id", "role", "text").mapInPandas(lambda it: _format(it, budget, history, path), WINDOWS)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
