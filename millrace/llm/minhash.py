@@ -1,13 +1,14 @@
 """Document fingerprints by one-permutation MinHash, with DataFrame functions only.
 
 Each shingle is hashed once; the top bits of the hash choose one of BINS bins, which keeps its smallest hash. An empty
-bin takes the value of the first filled bin in its own probe order (optimal densification). The low eight bits of each
+bin takes the value of the first filled bin that hashes of (bin, try) lead to, however many tries (optimal densification). The low eight bits of each
 bin are stored, eight bins to a long; the share of equal bins is corrected for chance agreement.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,9 +26,21 @@ def _range(n: int) -> Column:
     return F.sequence(F.lit(0), F.lit(n - 1))
 
 
-def _probe(j: int, a: int) -> int:
-    """The a-th bin that empty bin j asks; every bin would come once in BINS steps, as the stride is odd."""
-    return ((j * 2654435761 >> 7) + a * (((j * 2246822519 >> 9) & 63) * 2 + 1)) & (BINS - 1)
+def _mix(x: int) -> int:
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * by & (1 << 64) - 1
+    return x ^ x >> 31
+
+
+@lru_cache
+def order(j: int) -> tuple[int, ...]:
+    """All bins, as the hashes of (j, try) lead to them first."""
+    seen: dict[int, None] = {}
+    at = 0
+    while len(seen) < BINS:
+        seen.setdefault(_mix((j * BINS + 1) * 0x9E3779B97F4A7C15 + at * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1) % BINS)
+        at += 1
+    return tuple(seen)
 
 
 def _long(bits: int) -> str:
@@ -35,10 +48,10 @@ def _long(bits: int) -> str:
 
 
 def _compiled(j: int) -> str:
-    """SQL for the value of bin j, with the first of its probes that is filled spelled out."""
-    probes = dict.fromkeys([j, *(_probe(j, a) for a in range(PROBES))])
+    """SQL for the value of bin j: its own, or that of the first filled one of its first PROBES; null if none of them is."""
+    probes = dict.fromkeys([j, *order(j)[:PROBES]])
     some = " ".join(f"WHEN (mh_m{b // 64} & {_long(1 << b % 64)}) <> 0 THEN {'mh_c + ' * (b >= 64)}bit_count(mh_m{b // 64} & {_long((1 << b % 64) - 1)})" for b in probes)
-    return f"get(mh_f, CASE {some} ELSE 0 END)"
+    return f"get(mh_f, CASE {some} ELSE -1 END)"
 
 
 def _bin(x: Column) -> Column:
@@ -49,8 +62,8 @@ def add_fingerprint(df: DataFrame, text: str, to: str, words: int = WORDS) -> Da
     """df with `to`: BINS // 8 longs; all zero for a text without words. Fewer than `words` words are one shingle.
 
     Words are runs of non-space in the lower-cased text. The steps are columns of their own, so that each is computed once.
-    An empty bin asks PROBES others, in compiled code; where all of those are empty, too (a text of a few words), it takes
-    the smallest hash of all, which agrees between two texts as often as they are alike.
+    An empty bin's first PROBES tries are in compiled code; where all of those are empty, too (few words), the filled bin
+    that comes first in the rest of the bin's order is looked up.
     """
     clean = F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
     df = df.withColumn("mh_w", F.split(clean, SPACE))
@@ -68,7 +81,12 @@ def add_fingerprint(df: DataFrame, text: str, to: str, words: int = WORDS) -> Da
     compiled = F.expr(f"array({', '.join(map(_compiled, range(BINS)))})")
     # the higher-order function keeps this projection out of one huge method, so that it is compiled in parts
     none = F.transform(F.array_repeat(F.lit(0).cast("long"), BINS), lambda x: x)
-    df = df.withColumn("mh_v", F.when(F.size(f) > 0, compiled).otherwise(none)).drop("mh_f", "mh_m0", "mh_m1", "mh_c")
+    df = df.withColumn("mh_v", F.when(F.size(f) > 0, compiled).otherwise(none)).drop("mh_m0", "mh_m1", "mh_c")
+    # place of each bin in the order of bin j, as the j-th string's characters
+    ranks = F.array(*(F.lit("".join(chr(order(j).index(b)) for b in range(BINS))) for j in range(BINS)))
+    place = lambda j, x: F.ascii(F.substring(F.get(ranks, j), _bin(x) + 1, F.lit(1)))
+    later = lambda j: F.get(f, F.array_min(F.transform(f, lambda x, i: place(j, x) * BINS + i)) % BINS)
+    df = df.withColumn("mh_v", F.when(F.exists("mh_v", lambda v: v.isNull()), F.transform("mh_v", lambda v, j: F.coalesce(v, later(j)))).otherwise(F.col("mh_v"))).drop("mh_f")
     pack = lambda g: F.aggregate(F.slice("mh_v", g * 8 + 1, F.lit(8)), F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 8).bitwiseOR(x.bitwiseAND(255)))
     # named twice, the array is not computed anew for each long
     return df.withColumn(to, F.when(F.size("mh_v") > 0, F.transform(_range(BINS // 8), pack))).drop("mh_v")
@@ -96,11 +114,16 @@ def with_next(docs: DataFrame, carry: tuple[str, ...], by: str = "doc_id") -> Da
     """
     spark = docs.sparkSession
     n = 4 * partitions(spark)
-    bounds = docs.select(F.percentile_approx(by, [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    cut = F.array(*(F.lit(b).cast("long") for b in sorted(set(bounds)))) if bounds else F.array().cast("array<bigint>")
+    bounds = sorted(set(docs.select(F.percentile_approx(by, [i / n for i in range(1, n)], 10_000)).first()[0] or []))
+    some = lambda x: F.array(*(F.lit(b).cast("long") for b in x)).cast("array<bigint>")
+    fine, step = some(bounds), max(1, math.isqrt(len(bounds)))
+    # how many bounds are at or below an id: every step-th one first, then the step that follows
+    upto = lambda a: F.size(F.filter(a, lambda b: b <= F.col(by)))
+    coarse = upto(some(bounds[step - 1 :: step])) * step
+    range_ = F.when(F.col(by).isNull(), -1).otherwise(coarse + upto(F.slice(fine, coarse + 1, F.lit(step))))
     key = F.struct(F.col(by).isNotNull().alias("known"), F.col(by).alias("id"), F.xxhash64("text").alias("th"))
-    rows = docs.withColumn("nx_key", key).withColumn("nx_range", F.when(F.col(by).isNull(), -1).otherwise(F.size(F.filter(cut, lambda b: b <= F.col(by)))))
-    firsts = docs.select(by, "text").withColumn("nx_key", key).withColumn("nx_range", F.when(F.col(by).isNull(), -1).otherwise(F.size(F.filter(cut, lambda b: b <= F.col(by)))))
+    rows = docs.withColumn("nx_key", key).withColumn("nx_range", range_)
+    firsts = docs.select(by, "text").withColumn("nx_key", key).withColumn("nx_range", range_)
     first = {r.nx_range: r.k for r in firsts.groupBy("nx_range").agg(F.min("nx_key").alias("k")).collect()}  # n ranges at most
     order = sorted(first)
     before = spark.createDataFrame([(r, first[r].known, first[r].id, first[r].th, order[i - 1]) for i, r in enumerate(order)], "f_range int, f_known boolean, f_id long, f_th long, nx_before int")

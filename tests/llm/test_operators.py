@@ -472,8 +472,29 @@ def test_capacity():
     assert sharding.smallest_capacity([], 4) == 0 and sharding.cuts([], 4) == []
 
 
+def test_even_cuts():
+    """No shard is left short: what earlier ones have over is shared by all that follow."""
+    r = random.Random(7)
+    sizes = [r.randint(50, 9000) for _ in range(1000)]
+    held = Counter()
+    for s, x in zip(sharding.cuts(sizes, 40), sizes):
+        held[s] += x
+    mean = sum(sizes) / 40
+    assert len(held) == 40 and max(abs(x - mean) for x in held.values()) < 9000
+
+
+def test_slots_whatever_the_partitions(spark, monkeypatch):
+    """The same rows, a hot text and fully equal ones among them, in three and in seven partitions."""
+    monkeypatch.setattr(sharding, "RUN", 100)
+    rows = [(i if i % 4 else None, "hot" if i % 2 else f"text {i}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted(map(str, sharding.assign(df.repartition(n), 8).collect())) for n in (3, 7)]
+    assert got[0] == got[1] and len(got[0]) == 6000
+
+
 def test_shards(docs, monkeypatch):
     monkeypatch.setattr(sharding, "SLICE", 3)
+    monkeypatch.setattr(sharding, "RUN", 2)
     out = sharding.assign(docs, 8).collect()
     rows = plain(docs)
     assert sorted(((r.doc_id is None, r.doc_id or 0), r.size, r.text_crc32) for r in out) == sorted(((i is None, i or 0), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
@@ -496,16 +517,22 @@ def test_chat(spark, sf):
     shown = chat.format_chats(df, 100, 50)
     for r in shown.collect():
         turns = chat.parse(r.formatted)
-        assert len(turns) == r.n_turns and (r.n_tokens <= 100 or r.n_turns - r.n_repeated == 1)
-        assert sum(chat.tokens(t) for _, t in turns) == r.n_tokens
+        assert len(turns) == r.n_turns and (r.n_tokens <= 100 or r.n_turns == 1)
+        assert sum(len(ids_of(x)) - 1 for role, t in turns for x in (chat.escape_role(role), chat.escape(t))) + 2 * len(turns) == r.n_tokens
     check_chat(rows, shown)
     small = table(spark, sf, "conversations")
     check_chat([(r.conv_id, r.turn, r.role, r.text) for r in small.collect()], chat.format_chats(small))
     assert chat.read_back(chat.format_chats(df.limit(0))).count() == 0
+    # a system turn that leaves no room for a turn goes, so every window keeps to the budget
+    tight = spark.createDataFrame([(1, i, r, sentence(i, n)) for i, (r, n) in enumerate([("system", 20), ("user", 60), ("assistant", 60), ("user", 5), ("assistant", 5)])], "conv_id long, turn int, role string, text string")
+    sizes = [len(ids_of(r.role)) + len(ids_of(r.text)) for r in tight.orderBy("turn").collect()]  # the two marks for the two end ids
+    made = chat.format_chats(tight, max(sizes) + 3, 10_000).orderBy("window").collect()
+    assert all(r.n_tokens <= max(sizes) + 3 for r in made) and sizes[0] + max(sizes) > max(sizes) + 3
+    assert sum(r.n_turns - r.n_repeated for r in made) == 5 and any(r.n_repeated for r in made)
 
 
 def check_chat(rows, shown):
-    by = defaultdict(list)
+    by, size = defaultdict(list), {r.conv_id: r.n for r in shown.groupBy("conv_id").agg(F.sum(F.length("formatted")).alias("n")).collect()}
     low = lambda x: (x is not None, x if x is not None else 0)
     for c, turn, role, text in sorted(rows, key=lambda r: (low(r[0]), low(r[1]), (r[2] is not None, r[2] or ""), (r[3] is not None, r[3] or ""))):
         by[c].append((role or "", text or ""))
@@ -513,7 +540,7 @@ def check_chat(rows, shown):
     assert set(got) == set(by)
     for c, turns in by.items():
         says = [t for r, t in turns if r == "assistant"]
-        assert got[c].n_turns == len(turns) and got[c].loss_chars == sum(map(len, says))
+        assert got[c].formatted_chars == size[c] and got[c].n_turns == len(turns) and got[c].loss_chars == sum(map(len, says))
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert got[c].loss_sha256 == hashlib.sha256("".join(says).encode()).hexdigest()
 
@@ -563,6 +590,28 @@ def test_minhash(docs):
     assert all(len(p) <= 1 for p in prints.values())
 
 
+def test_empty_bins_by_one_rule(spark):
+    """Every bin of texts of 1 to 60 shingles, against the probing written out."""
+    texts = ["w"] + [sentence(50 + i, i + 5) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    h = {r.doc_id: r.mh for r in df.select("doc_id", F.split("text", " ").alias("w")).withColumn("h", F.transform("w", lambda w: F.xxhash64(w))).withColumn("mh", F.when(F.size("h") < 5, F.array(F.xxhash64("h"))).otherwise(F.transform(F.slice("h", F.lit(1), F.greatest(F.size("h") - 4, F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get("h", i + j) for j in range(1, 5)))))).collect()}
+    probe = lambda j, a: minhash._mix((j * 128 + 1) * 0x9E3779B97F4A7C15 + a * 0xC2B2AE3D27D4EB4F & 2**64 - 1) % 128
+    for r in minhash.add_fingerprint(df, "text", "fp").collect():
+        bins = {}
+        for x in h[r.doc_id]:
+            b = (x + 2**63) >> 57
+            bins[b] = min(x, bins.get(b, x))
+        want = []
+        for j in range(128):
+            a, at = 0, j
+            while at not in bins:
+                at, a = probe(j, a), a + 1
+            want.append(bins[at] & 255)
+        got = [x >> 8 * k & 255 for x in r.fp for k in range(7, -1, -1)]
+        assert got == want, r.doc_id
+    assert all(sorted(minhash.order(j)) == list(range(128)) for j in range(128))
+
+
 # 10
 
 
