@@ -7,8 +7,8 @@ within 3 more than its radius of the home of every block that it may be linked t
 and to every anchor within that larger distance, and at each anchor those at home are compared with all that came. No pair
 is missed.
 
-near_groups() links by fingerprints alone. like_groups() takes what meets at the anchors as candidates and links two texts
-only if their sets of shingles are alike enough.
+near_groups() links by fingerprints alone. like_groups() takes what meets at the anchors, by either of two fingerprints, as
+candidates and links two texts only if their sets of shingles are alike enough.
 """
 
 from __future__ import annotations
@@ -31,6 +31,9 @@ SPANS = ((0, 21), (21, 21), (42, 22))
 HOMES, BATCH = 1 << 14, 3_000
 FIRST = 16  # what open_pairs() gives a text in the first round; each later one gives four times as many, until none had more
 SKETCH = 512
+PRINTS = ("fp", "fp2")
+PACKED = "key long, homes binary, others binary"
+NODE = np.dtype([("fp", "<i8"), ("th", "<i8"), ("component", "<i8"), ("size", "<i8"), ("sketch", "u1", SKETCH // 8)])
 
 
 def _syndrome(words: np.ndarray) -> np.ndarray:
@@ -65,8 +68,17 @@ def anchors(block: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(block)), n), (np.repeat(block.astype("i8"), n) ^ errors) >> CHECKS
 
 
-def fingerprints(texts: list[str | None], words: int) -> np.ndarray:
-    """64-bit SimHash of each text: XXH64 (seed 42) of its `words`-word shingles, repeats included, bit set if in over half."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Other 64-bit hashes of what has these."""
+    with np.errstate(over="ignore"):
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def fingerprints(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit SimHash of each text: XXH64 (seed 42) of its `words`-word shingles, repeats included, bit set if in over half;
+    and another such fingerprint, of those hashes mixed."""
     hashes, sizes = [], []
     for text in texts:
         w = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -75,22 +87,22 @@ def fingerprints(texts: list[str | None], words: int) -> np.ndarray:
         hashes += h
         sizes.append(len(h))
     n = np.array(sizes, "i8")
-    out = np.zeros(len(texts), "u8")
+    out = np.zeros(len(texts), "u8"), np.zeros(len(texts), "u8")
     if hashes:
         at, some = np.cumsum(n) - n, n > 0
-        flat = np.array(hashes, "u8")
-        for bit in range(64):
-            ones = np.add.reduceat((flat >> np.uint64(bit) & np.uint64(1)).astype("i4"), at[some])
-            out[some] |= (2 * ones > n[some]).astype("u8") << np.uint64(bit)
+        flat = np.array(hashes, "<u8")
+        for to, x in zip(out, (flat, _mixed(flat))):
+            bits = np.unpackbits(x.view("u1").reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, at[some], axis=0, dtype="i4")
+            to[some] = np.packbits(2 * ones > n[some, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
 def _fingerprint(frames: Iterator[pd.DataFrame], words: int, carry: tuple[str, ...] = ()) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        out = []
-        for lo in range(0, len(frame), 256):
-            out.append(fingerprints(list(frame["text"].iloc[lo : lo + 256]), words))
-        yield pd.DataFrame({"doc_id": frame["doc_id"], **{c: frame[c] for c in carry}, "fp": np.concatenate(out).view("i8") if out else np.zeros(0, "i8")})
+        made = [fingerprints(list(frame["text"].iloc[lo : lo + 256]), words) for lo in range(0, len(frame), 256)]
+        fps = {c: np.concatenate([m[i] for m in made]).view("i8") if made else np.zeros(0, "i8") for i, c in enumerate(PRINTS)}
+        yield pd.DataFrame({"doc_id": frame["doc_id"], **{c: frame[c] for c in carry}, **fps})
 
 
 def _blocks(fp: np.ndarray) -> list[np.ndarray]:
@@ -101,45 +113,61 @@ def _homes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for b, block in enumerate(_blocks(frame["fp"].to_numpy("i8"))):
             word = anchors(block, RADIUS)[1]
-            at, n = np.unique(word + (b << 12), return_counts=True)
+            at, n = np.unique(word + (b + len(SPANS) * _which(frame) << 12), return_counts=True)
             yield pd.DataFrame({"anchor": at, "n": n})
 
 
+def _which(frame: pd.DataFrame) -> np.ndarray:
+    """Of several kinds of fingerprints, which meet each at anchors of their own."""
+    return frame["which"].to_numpy("i8") if "which" in frame else np.zeros(len(frame), "i8")
+
+
 def _sent(frames: Iterator[pd.DataFrame], within: tuple[int, ...], splits: dict[int, int]) -> Iterator[pd.DataFrame]:
     """Rows key, home, fp of _placed()."""
-    for key, home, fp in _placed(frames, within, splits):
-        yield pd.DataFrame({"key": key, "home": home, "fp": fp})
+    for frame, key, home, i in _placed(frames, within, splits):
+        yield pd.DataFrame({"key": key, "home": home, "fp": frame["fp"].to_numpy("i8")[i]})
 
 
 def _sent_together(frames: Iterator[pd.DataFrame], within: tuple[int, ...], splits: dict[int, int]) -> Iterator[pd.DataFrame]:
-    """Rows key, homes, others: the fingerprints of a batch that meet at a key, 8 bytes each, so that few rows are shuffled."""
-    for key, home, fp in _placed(frames, within, splits):
+    """Rows key, homes, others: the fingerprints, or nodes, of a batch that meet at a key as bytes, so that few rows are shuffled."""
+    for frame, key, home, i in _placed(frames, within, splits):
         order = np.lexsort((~home, key))
-        key, home, data = key[order], home[order], fp[order].astype("<i8").tobytes()
+        key, home, i = key[order], home[order], i[order]
+        items = frame["fp"].to_numpy("<i8") if "sketch" not in frame else nodes(frame)
+        data, size = items[i].tobytes(), items.dtype.itemsize
         lo = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1]) if len(key) else np.zeros(0, "i8")
         cut = (lo + (np.add.reduceat(home.astype("i8"), lo) if len(lo) else lo)).tolist()
         hi = [*lo[1:].tolist(), len(key)]
         at = list(zip(lo.tolist(), cut, hi))
-        yield pd.DataFrame({"key": key[lo], "homes": [data[8 * a : 8 * b] for a, b, _ in at], "others": [data[8 * b : 8 * c] for _, b, c in at]})
+        yield pd.DataFrame({"key": key[lo], "homes": [data[size * a : size * b] for a, b, _ in at], "others": [data[size * b : size * c] for _, b, c in at]})
 
 
-def _placed(frames: Iterator[pd.DataFrame], within: tuple[int, ...], splits: dict[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """key, home, fp. A crowded anchor's homes are dealt over several keys, and what visits it goes to each."""
-    for frame in frames:
-        for lo in range(0, len(frame), BATCH):
-            fp = frame["fp"].to_numpy("i8")[lo : lo + BATCH]
-            mixed = (fp.view("u8") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype("i8")
+def nodes(frame: pd.DataFrame) -> np.ndarray:
+    out = np.empty(len(frame), NODE)
+    for c in ("fp", "th", "component", "size"):
+        out[c] = frame[c]
+    out["sketch"] = np.frombuffer(b"".join(frame["sketch"]), "u1").reshape(len(frame), -1)
+    return out
+
+
+def _placed(frames: Iterator[pd.DataFrame], within: tuple[int, ...], splits: dict[int, int]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+    """Batch, and key, home and place in the batch of what goes out. A crowded anchor's homes are dealt over several keys,
+    and what visits it goes to each."""
+    for whole in frames:
+        for lo in range(0, len(whole), BATCH):
+            frame = whole.iloc[lo : lo + BATCH]
+            fp, which = frame["fp"].to_numpy("i8"), _which(frame)
+            mixed = (_mixed(fp.view("u8")) >> np.uint64(32)).astype("i8")
             for b, block in enumerate(_blocks(fp)):
                 i, word = anchors(block, RADIUS + within[b])
                 home = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
-                anchor = word + (b << 12)
+                anchor = word + (b + len(SPANS) * which[i] << 12)
                 n = np.ones(len(anchor), "i8")
                 for a, k in splits.items():
                     n[anchor == a] = k
                 rep = np.repeat(np.arange(len(anchor)), n)
                 salt = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
-                at_home = home[rep] & (mixed[i[rep]] % n[rep] == salt)
-                yield (anchor[rep] << 20) + salt, at_home, fp[i[rep]]
+                yield frame, (anchor[rep] << 20) + salt, home[rep] & (mixed[i[rep]] % n[rep] == salt), i[rep]
 
 
 def local_links(fp: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,10 +232,11 @@ def _compared(frames: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFram
             yield pd.DataFrame({"a": a, "b": b})
 
 
-def local_pairs(fp: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def local_pairs(fp: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs within `bits` to be checked first: all pairs of a set of up to FIRST that links join; in a larger set, for each
     member at home its nearest, the one it was found by, and the one with most neighbours at home, so a few a member. Last
-    the indices of those larger sets, whose other pairs are left to _open_pairs()."""
+    the members at home in larger sets, whose other pairs are left to open_pairs(): each pair that meets, meets at the
+    homes of both, so the pairs left out have both ends among those members."""
     fp = fp.view("u8")
     of = np.nonzero(home)[0]
     linked = np.zeros(len(of), bool)
@@ -241,36 +270,40 @@ def local_pairs(fp: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray
             apart[some[:, None] == g[None, :]] = 64
             a += [some, some]
             b += [g[apart.argmin(1)], by[some]]
-        crowds.append(g[home[g] | (degree > 0)])
+        crowds.append(own)
         hub = g[degree.argmax()]
         near = own[np.bitwise_count(fp[own] ^ fp[hub]) <= bits]
         a.append(near)
         b.append(np.full(len(near), hub))
     i, j = (np.concatenate(v) if v else np.zeros(0, "i8") for v in (a, b))
     keep_ = i != j
-    return fp[i[keep_]].view("i8"), fp[j[keep_]].view("i8"), crowds
+    return fp[i[keep_]].view("i8"), fp[j[keep_]].view("i8"), fp[np.concatenate(crowds)].view("i8") if crowds else np.zeros(0, "i8")
+
+
+def _met_together(frame: pd.DataFrame, dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What meets at each key of frame, and which of it is at home."""
+    key = frame["key"].to_numpy()
+    lo = 0
+    for hi in [*(np.nonzero(key[1:] != key[:-1])[0] + 1).tolist(), len(key)]:
+        homes, others = (b"".join(frame[c].iloc[lo:hi]) for c in ("homes", "others"))
+        items = np.frombuffer(homes + others, dtype)
+        lo = hi
+        if homes and len(items) > 1:
+            yield items, np.arange(len(items)) < len(homes) // items.itemsize
 
 
 def _candidates(frames: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
-    """Pairs a, b to be checked first, with no key; and the members a of each larger set: its key, first member b, at home or not."""
+    """Pairs a, b to be checked first; with a null b, members a of larger sets."""
     for frame in whole_groups(frames, "key", 256):
-        key = frame["key"].to_numpy()
-        ends = [*(np.nonzero(key[1:] != key[:-1])[0] + 1).tolist(), len(key)]
-        out, lo = [np.zeros((2, 0), "i8")], 0
-        for hi in ends:
-            homes, others = (b"".join(frame[c].iloc[lo:hi]) for c in ("homes", "others"))
-            fp = np.frombuffer(homes + others, "<i8").astype("i8")
-            if homes and len(fp) > 1:
-                home = np.arange(len(fp)) < len(homes) // 8
-                i, j, crowds = local_pairs(fp, home, bits)
-                out.append(np.array([i, j]))
-                for g in crowds:
-                    yield pd.DataFrame({"a": fp[g], "b": fp[g[0]], "key": pd.array([key[lo]] * len(g), "Int64"), "home": home[g]})
-            lo = hi
-        pairs = np.concatenate(out, axis=1)
-        if pairs.shape[1]:
-            a, b = np.unique(np.sort(pairs, axis=0), axis=1)
-            yield pd.DataFrame({"a": a, "b": b, "key": pd.array([None] * len(a), "Int64"), "home": False})
+        out, crowded = [np.zeros((2, 0), "i8")], [np.zeros(0, "i8")]
+        for fp, home in _met_together(frame, "<i8"):
+            i, j, crowd = local_pairs(fp.astype("i8"), home, bits)
+            out.append(np.array([i, j]))
+            crowded.append(crowd)
+        a, b = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1)
+        more = np.unique(np.concatenate(crowded))
+        if len(a) or len(more):
+            yield pd.DataFrame({"a": np.concatenate([a, more]), "b": pd.array([*b.tolist(), *[None] * len(more)], "Int64")})
 
 
 def _sketched(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
@@ -288,19 +321,18 @@ def _sketched(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFra
         yield pd.DataFrame({"th": frame["th"], "size": np.array(sizes, "i8"), "sketch": sketches})
 
 
-def open_pairs(frame: pd.DataFrame, bits: int, least: float, limit: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Indices of the pairs of a set, one at home, within `bits`, in different components and not ruled out by sketches;
-    for each member at home up to `limit` of them, the likeliest first, and whether any had more."""
-    fp, node, component, size = (frame[c].to_numpy("i8") for c in ("fp", "th", "component", "size"))
-    fp, home = fp.view("u8"), frame["home"].to_numpy(bool)
-    sketch = np.frombuffer(b"".join(frame["sketch"]), "u8").reshape(len(frame), -1)
+def open_pairs(met: np.ndarray, home: np.ndarray, bits: int, least: float, limit: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Indices of the pairs of nodes, one at home, within `bits`, in different components and not ruled out by sketches;
+    for each node at home up to `limit` of them, the likeliest first, and whether any had more."""
+    fp, node, component, size, sketch = (met[c] for c in NODE.names)
+    fp = fp.view("u8")
     a, b, more = [], [], False
     of = np.nonzero(home)[0]
     for lo in range(0, len(of), tile := max(1, 250_000 // len(fp))):
         some = of[lo : lo + tile]
-        met = (np.bitwise_count(fp[some, None] ^ fp[None, :]) <= bits) & (component[some, None] != component[None, :])
-        met &= ~home[None, :] | (node[some, None] < node[None, :])
-        i, j = np.nonzero(met)
+        near = (np.bitwise_count(fp[some, None] ^ fp[None, :]) <= bits) & (component[some, None] != component[None, :])
+        near &= ~home[None, :] | (node[some, None] < node[None, :])
+        i, j = np.nonzero(near)
         i = some[i]
         apart = np.maximum(np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype="i8"), np.abs(size[i] - size[j]))
         share = apart / np.maximum(size[i] + size[j], 1)
@@ -317,15 +349,14 @@ def open_pairs(frame: pd.DataFrame, bits: int, least: float, limit: int) -> tupl
 
 
 def _open_pairs(frames: Iterator[pd.DataFrame], bits: int, least: float, limit: int) -> Iterator[pd.DataFrame]:
-    for frame in whole_groups(frames, "key"):
-        key, th = frame["key"].to_numpy(), frame["th"].to_numpy("i8")
-        lo = 0
-        for hi in [*(np.nonzero(key[1:] != key[:-1])[0] + 1).tolist(), len(key)]:
-            i, j, more = open_pairs(frame.iloc[lo:hi], bits, least, limit)
-            x, y = th[lo:hi][i], th[lo:hi][j]
+    for frame in whole_groups(frames, "key", 64):
+        for met, home in _met_together(frame, NODE):
+            if (met["component"] == met["component"][0]).all():
+                continue
+            i, j, more = open_pairs(met.copy(), home, bits, least, limit)
+            x, y = met["th"][i], met["th"][j]
             if len(x) or more:
                 yield pd.DataFrame({"ta": np.minimum(x, y), "tb": np.maximum(x, y), "more": more})
-            lo = hi
 
 
 def shingle_set(text: bytes, words: int) -> set[bytes]:
@@ -357,20 +388,6 @@ def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"t": frame["th"], "packed": [z.compress((x or "").encode("utf-8", "surrogatepass")) for x in frame["text"]]})
 
 
-def _unsettled(sets: DataFrame, tagged: DataFrame, rows: DataFrame, words: int, least: float, bits: int, limit: int) -> DataFrame:
-    """ta, tb, more: the open pairs of sets(set, fp, home) of more than one component. A large set's homes are dealt over several keys."""
-    members = keep(sets.join(tagged.select("fp", "th", "component"), "fp"), "members")
-    mixed = members.groupBy("set").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    live = keep(members.join(mixed.select("set", "n"), "set"), "live")
-    texts = rows.select("th", "text").join(live.select("th").distinct(), "th", "left_semi")
-    sketches = keep(texts.mapInPandas(lambda it: _sketched(it, words), "th long, size long, sketch binary").dropDuplicates(["th"]), "sketches")
-    keys = F.ceil(F.col("n") / HOMES).cast("int")
-    dealt = live.withColumn("salt", F.explode(F.sequence(F.lit(0), keys - 1))).withColumn("home", F.col("home") & (F.pmod(F.hash("th"), keys) == F.col("salt")))
-    met = dealt.join(sketches, "th").select(F.xxhash64("set", "salt").alias("key"), "fp", "th", "component", "home", "size", "sketch")
-    met = met.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
-    return met.mapInPandas(lambda it: _open_pairs(it, bits, least, limit), "ta long, tb long, more boolean")
-
-
 def _checked(rows: DataFrame, edges: DataFrame, words: int, least: float) -> DataFrame:
     """Links a, b: the edges(ta, tb) whose whole texts are alike."""
     ends = edges.select(F.col("ta").alias("th")).union(edges.select("tb")).distinct()
@@ -384,38 +401,38 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def like_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 14) -> DataFrame:
+def like_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 11) -> DataFrame:
     """doc_id, fingerprint, component_id as near_groups(), text_hash, and component_head (the smallest text_hash of
     component_id in the component, of a null one where it has no other), but of links between texts whose sets of shingles have at least
     `least` of their union in common, checked on whole texts; fingerprints within `bits` only propose pairs.
 
-    Texts of more than `bits` differing bits aren't linked directly: of two texts at a likeness of 0.8, whose fingerprints
-    differ in 10 bits on average, 14 bits find 19 of 20. Texts are told apart by a 64-bit hash. In a large set of fingerprints a few pairs a member are
-    checked first, and of different texts of one fingerprint one against the others and the neighbours; then all pairs of
-    different components that their sketches don't rule out, each text's likeliest first, with more a text each time until
-    none had more, so only pairs that are joined already stay unchecked. Two texts without words are alike; nulls, repeated
-    rows and other columns as in near_groups().
+    Texts aren't linked directly if both of their two fingerprints differ in more than `bits` bits: of two texts at a likeness
+    of 0.8, where a fingerprint differs in 10 bits on average, 11 bits find nine of ten. Texts are told apart by a 64-bit
+    hash. In a large set of fingerprints a few pairs a member are checked first, and of different texts of one fingerprint one
+    against the others and the neighbours. Texts of which more pairs may be open go to the anchors again, with their
+    components and sketches, and all pairs of different components that their sketches don't rule out are checked, each
+    text's likeliest first, with more a text each time until none had more: only pairs that are joined already stay
+    unchecked. Two texts without words are alike; nulls, repeated rows and other columns as in near_groups().
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), "text")
-    marked = keep(rows.mapInPandas(lambda it: _fingerprint(it, words, ("th",)), "doc_id long, th long, fp long"), "fingerprints")
-    heads = keep(marked.groupBy("fp", "th").agg(F.min("doc_id").alias("first")), "heads")
-    ones = keep(heads.groupBy("fp").agg(F.min("th").alias("t0"), F.count("*").alias("texts")), "ones")
-    met = keep(_met(ones.select("fp"), bits, _sent_together, "key long, homes binary, others binary").mapInPandas(lambda it: _candidates(it, bits), "a long, b long, key long, home boolean"), "met")
-    pairs = keep(met.where("key is null").select("a", "b").distinct(), "pairs")
-    several = ones.where("texts > 1").select("fp")
-    linked = pairs.join(several, F.col("a") == F.col("fp"), "left_semi").union(pairs.join(several, F.col("b") == F.col("fp"), "left_semi")).distinct()
-    crowds = met.where("key is not null").select(F.xxhash64("key", "b").alias("set"), F.col("a").alias("fp"), "home")
-    ends = [linked.select(F.xxhash64("a", "b").alias("set"), F.col(c).alias("fp"), F.lit(c == "a").alias("home")) for c in "ab"]
-    sets = keep(crowds.union(several.select(F.xxhash64("fp").alias("set"), "fp", F.lit(True).alias("home"))).union(ends[0]).union(ends[1]), "sets")
-    name = lambda c, t: ones.select(F.col("fp").alias(c), F.col("t0").alias(t))
-    same = heads.join(ones.where("texts > 1"), "fp").where("th <> t0").select(F.col("t0").alias("ta"), F.col("th").alias("tb"))
-    edges = pairs.join(name("a", "ta"), "a").join(name("b", "tb"), "b").select("ta", "tb").union(same)
-    edges = keep(edges.select(F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb")), "edges")
+    marked = keep(rows.mapInPandas(lambda it: _fingerprint(it, words, ("th",)), "doc_id long, th long, fp long, fp2 long"), "fingerprints")
+    heads = keep(marked.groupBy("th", *PRINTS).agg(F.min("doc_id").alias("first")), "heads")
+    edges, crowded = None, None
+    for which, fp in enumerate(PRINTS):
+        found, open_ = _proposed(heads.select("th", F.col(fp).alias("fp")), bits)
+        open_ = open_.withColumn("which", F.lit(which))
+        edges, crowded = (found, open_) if edges is None else (edges.union(found), crowded.union(open_))
+    edges = keep(edges.distinct(), "edges")
+    crowded = keep(crowded, "crowded")
+    texts = rows.select("th", "text").join(crowded.select("th").distinct(), "th", "left_semi")
+    sketches = keep(texts.mapInPandas(lambda it: _sketched(it, words), "th long, size long, sketch binary").dropDuplicates(["th"]), "sketches")
     found = connected_components(_checked(rows, edges, words, least))
-    tagged = keep(heads.join(found, F.col("th") == F.col("node"), "left").select("fp", "th", "first", F.coalesce("component", "th").alias("component")), "tagged")
-    limit, more = FIRST, not sets.isEmpty()
+    tagged = keep(heads.join(found, F.col("th") == F.col("node"), "left").select("th", "first", F.coalesce("component", "th").alias("component")), "tagged")
+    limit, more = FIRST, not crowded.isEmpty()
     while more:
-        proposed = keep(_unsettled(sets, tagged, rows, words, least, bits, limit), "proposed")
+        of_nodes = crowded.join(sketches, "th").join(tagged.select("th", "component"), "th").select("which", *NODE.names)
+        met = _met(of_nodes, bits, _sent_together, PACKED)
+        proposed = keep(met.mapInPandas(lambda it, limit=limit: _open_pairs(it, bits, least, limit), "ta long, tb long, more boolean"), "proposed")
         more, limit = not proposed.where("more").isEmpty(), 4 * limit
         todo = keep(proposed.select("ta", "tb").distinct().join(edges, ["ta", "tb"], "left_anti"), "todo")
         if todo.isEmpty():
@@ -424,12 +441,27 @@ def like_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int =
         of = lambda t, c: tagged.select(F.col("th").alias(t), F.col("component").alias(c))
         links = _checked(rows, todo, words, least).join(of("a", "ca"), "a").join(of("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         up = connected_components(links).withColumnRenamed("component", "root")
-        tagged = keep(tagged.join(up, F.col("component") == F.col("node"), "left").select("fp", "th", "first", F.coalesce("root", "component").alias("component")), "tagged")
+        tagged = keep(tagged.join(up, F.col("component") == F.col("node"), "left").select("th", "first", F.coalesce("root", "component").alias("component")), "tagged")
     head = tagged.groupBy("component").agg(F.min(F.struct(F.isnull("first").alias("none"), "first", "th")).alias("head"))
     of = tagged.join(head, "component").select("th", F.col("head.first").alias("component_id"), F.col("head.th").alias("component_head"))
     return marked.join(of, "th").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("th").alias("text_hash"), "component_head")
 
 
+def _proposed(heads: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Of heads(th, fp): links ta, tb to be checked first, and fp, th of all texts that may have others within `bits`."""
+    ones = keep(heads.groupBy("fp").agg(F.min("th").alias("t0"), F.count("*").alias("texts")), "ones")
+    met = _met(ones.select("fp"), bits, _sent_together, PACKED).mapInPandas(lambda it: _candidates(it, bits), "a long, b long")
+    met = keep(met.distinct(), "met")
+    pairs, several = met.where("b is not null"), ones.where("texts > 1").select("fp")
+    # where a fingerprint has several texts, all of them and of their neighbours' texts stay open
+    near = pairs.join(several, F.col("a") == F.col("fp"), "left_semi").select(F.col("b").alias("fp")).union(pairs.join(several, F.col("b") == F.col("fp"), "left_semi").select(F.col("a").alias("fp")))
+    crowds = met.where("b is null").select(F.col("a").alias("fp")).union(several).union(near).distinct()
+    name = lambda c, t: ones.select(F.col("fp").alias(c), F.col("t0").alias(t))
+    same = heads.join(ones.where("texts > 1"), "fp").where("th <> t0").select(F.col("t0").alias("ta"), F.col("th").alias("tb"))
+    links = pairs.join(name("a", "ta"), "a").join(name("b", "tb"), "b").select("ta", "tb").union(same)
+    return links.select(F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb")), heads.join(crowds, "fp").select("fp", "th")
+
+
 def _met(fps: DataFrame, bits: int, send, schema: str) -> DataFrame:
     """What `send` makes of different fingerprints, sorted by key, all of a key in one task."""
     n = fps.mapInPandas(_homes, "anchor int, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > HOMES)
@@ -446,7 +478,7 @@ def near_groups(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     empty one, of fingerprint zero, linked like any other. A null doc_id gets its row, but counts for component_id only
     where its component has no other. Repeated rows stay; no rows give none; other columns are ignored.
     """
-    marked = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda it: _fingerprint(it, words), "doc_id long, fp long"), "fingerprints")
+    marked = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda it: _fingerprint(it, words), "doc_id long, fp long, fp2 long").select("doc_id", "fp"), "fingerprints")
     heads = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "heads")
     met = _met(heads.select("fp"), bits, _sent, "key long, home boolean, fp long")
     links = met.mapInPandas(lambda it: _compared(it, bits), "a long, b long")

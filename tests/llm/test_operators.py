@@ -145,11 +145,25 @@ def test_encoder_of_another_file(tmp_path):
 # 3
 
 
-def brute_fingerprint(text, words):
+def mixed(x):
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * by & 2**64 - 1
+    return x ^ x >> 31
+
+
+def brute_prints(text):
+    return brute_fingerprint(text, 5), brute_fingerprint(text, 5, mixed)
+
+
+def in_radius(p, q):
+    return any((x ^ y).bit_count() <= 11 for x, y in zip(p, q))
+
+
+def brute_fingerprint(text, words, of=int):
     w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = [x for x in __import__("re").split("[\x20\x09-\x0d]+", w) if x]
     s = [" ".join(w)] if 0 < len(w) < words else [" ".join(w[i : i + words]) for i in range(len(w) - words + 1)]
-    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    h = [of(xxhash.xxh64_intdigest(x.encode(), 42)) for x in s]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
@@ -189,7 +203,7 @@ def likeness(a, b, words=5):
 def test_like_groups(docs):
     """Links of all texts that are alike and within the bits, no other ones."""
     rows = plain(docs)
-    fps = {t: brute_fingerprint(t, 5) for _, t in rows}
+    fps = {t: brute_prints(t) for _, t in rows}
     texts = list(fps)
     root = {t: t for t in texts}
 
@@ -200,12 +214,12 @@ def test_like_groups(docs):
 
     for i, a in enumerate(texts):
         for b in texts[:i]:
-            if (fps[a] ^ fps[b]).bit_count() <= 14 and likeness(a, b) >= 0.8:
+            if in_radius(fps[a], fps[b]) and likeness(a, b) >= 0.8:
                 root[find(a)] = find(b)
     least = defaultdict(list)
     for i, t in rows:
         least[find(t)] += [i] if i is not None else []
-    want = sorted(((i is None, i or 0), f"{fps[t]:016x}", min(least[find(t)], default=-1)) for i, t in rows)
+    want = sorted(((i is None, i or 0), f"{fps[t][0]:016x}", min(least[find(t)], default=-1)) for i, t in rows)
     got = simhash.like_groups(docs).collect()
     assert sorted(((r.doc_id is None, r.doc_id or 0), r.fingerprint, -1 if r.component_id is None else r.component_id) for r in got) == want
 
@@ -224,13 +238,13 @@ def test_like_groups_of_many_copies(spark):
 
 
 def like_components(rows):
-    """component_id of each row, of links of all texts that are alike and within 14 bits."""
-    fps = {t: brute_fingerprint(t, 5) for _, t in rows}
+    """component_id of each row, of links of all texts that are alike and within 11 bits by either fingerprint."""
+    fps = {t: brute_prints(t) for _, t in rows}
     sets = {t: simhash.shingle_set((t or "").encode(), 5) for t in fps}
     of = {t: {t} for t in fps}
     for a in fps:
         for b in fps:
-            if of[a] is not of[b] and (fps[a] ^ fps[b]).bit_count() <= 14 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            if of[a] is not of[b] and in_radius(fps[a], fps[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 of[a] |= of[b]
                 for x in of[b]:
                     of[x] = of[a]
