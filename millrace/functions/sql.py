@@ -112,7 +112,7 @@ def repetition(e: str, g: str) -> str:
     return f"case when {size(e, g)} = 0 then {num(0)} else cast({size(e, g)} - {distinct} as double) / {size(e, g)} end"
 
 
-def repeated_phrase(e: str, s: str, cap: int | None = None) -> str:
+def repeated_phrase(e: str, s: str) -> str:
     """Two to six characters, three times in a row or more."""
     if e == SPARK:
         return f"{s} rlike '(.{{2,6}})\\\\1{{2,}}'"
@@ -148,14 +148,22 @@ def attr_segments(e: str, s: str, ascii_marks: bool = True) -> str:
     return where(e, trimmed, "x", "contains(x, '=')")
 
 
-def attr_values(e: str, s: str, ascii_marks: bool = True) -> str:
+def segment_values(e: str, segments: str) -> str:
     """Values of 'key=value' segments, duplicates kept."""
-    return where(e, each(e, attr_segments(e, s, ascii_marks), "x", "trim(substr(x, instr(x, '=') + 1))"), "x", "x <> ''")
+    return where(e, each(e, segments, "x", "trim(substr(x, instr(x, '=') + 1))"), "x", "x <> ''")
+
+
+def attr_values(e: str, s: str, ascii_marks: bool = True) -> str:
+    return segment_values(e, attr_segments(e, s, ascii_marks))
 
 
 def attr(e: str, s: str, key: str) -> str:
+    return segment_value(e, attr_segments(e, s), key)
+
+
+def segment_value(e: str, segments: str, key: str) -> str:
     """Last non-empty value of a key, or ''."""
-    match = where(e, attr_segments(e, s), "x", f"trim(substr(x, 1, instr(x, '=') - 1)) = {text(key)} and trim(substr(x, instr(x, '=') + 1)) <> ''")
+    match = where(e, segments, "x", f"trim(substr(x, 1, instr(x, '=') - 1)) = {text(key)} and trim(substr(x, instr(x, '=') + 1)) <> ''")
     last = f"try_element_at({match}, -1)" if e == SPARK else f"{match}[-1]"
     return f"coalesce(trim(substr({last}, instr({last}, '=') + 1)), '')"
 
@@ -233,6 +241,35 @@ def weaken(e: str, reference: str, vals: str, slots: int = 8) -> str:
     return f"case when {t} = '' then '{v.WEAK_EMPTY}' else {closed(f'case when length({tidy}) < 20 then {text(v.WEAK_SHORT)} else {tidy} end')} end"
 
 
+def some_values(e: str, vals: str, n: int, default: str) -> str:
+    return f"case when {size(e, vals)} > 0 then {join(e, head(e, vals, n), '、')} else {text(default)} end"
+
+
+def base_text(e: str, reference: str, vals: str, slots: int = 8) -> str:
+    """A weak system's text: every second value of two characters or more removed; slots as in weaken()."""
+    t = normalize(e, reference)
+    if e == SPARK:
+        cut = f"aggregate(filter({vals}, (x, i) -> i % 2 = 0 and length(x) >= 2), {t}, (acc, x) -> replace(acc, x, ''))"
+    else:
+        cut = without(t, [f"(case when length(coalesce({vals}[{i}], '')) >= 2 then {vals}[{i}] else chr(1) end)" for i in range(1, 2 * slots, 2)])
+    bare = strip(e, f"({cut})", "，。； ")
+    return closed(f"(case when length({bare}) < 18 then {text(v.BASE_SHORT)} else {bare} end)")
+
+
+def sft_text(e: str, reference: str, vals: str) -> str:
+    """The reference as it is, or a stock text of two values."""
+    t = normalize(e, reference)
+    return closed(f"(case when {t} = '' then '{v.SFT_EMPTY[0]}' || {some_values(e, vals, 2, '商品属性')} || '{v.SFT_EMPTY[1]}' else {t} end)")
+
+
+def dpo_text(e: str, reference: str, vals: str) -> str:
+    """The reference, or a stock text of three values, with up to three values that it doesn't show added."""
+    t = normalize(e, reference)
+    t = f"(case when {t} = '' then '{v.DPO_EMPTY[0]}' || {some_values(e, vals, 3, '核心卖点')} || '{v.DPO_EMPTY[1]}' else {t} end)"
+    gone = where(e, vals, "x", f"not contains({t}, x)")
+    return closed(f"({t} || case when {size(e, gone)} > 0 then '{v.DPO_ADDON[0]}' || {join(e, head(e, gone, 3), '、')} || '{v.DPO_ADDON[1]}' else '' end)")
+
+
 def closed(t: str) -> str:
     """With a full stop at its end."""
     return f"(case when right({t}, 1) = '。' then {t} else ({t}) || '。' end)"

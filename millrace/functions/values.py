@@ -33,3 +33,83 @@ REWRITE_PREFIXES = ["改写后的文案：", "改写文案：", "修改后的文
 REASONS = ["empty_content_or_summary", "contains_UNK", "summary_len_out_of_range", "content_attr_too_few", "low_chinese_ratio", "too_many_repeated_words", "high_repetition_ratio"]
 PAIR_REASONS = ["chosen_score<=rejected_score", "score_gap<0.5", "chosen_has_forbidden", "chosen_equals_rejected", "chosen_source_generic_or_weak"]
 JUDGE_KEYS = ["attribute_coverage", "factual_consistency", "naturalness", "attractiveness", "compliance"]
+#: Prompt templates: {input}, {text}, {issues} and {comment} are replaced.
+PLAIN_PROMPT_END = "请输出广告文案："
+JUDGE_SYSTEM = "你是一个严格的电商广告文案评审员。你需要根据商品属性评估候选广告文案。请只输出 JSON，不要输出解释。"
+JUDGE_PROMPT = """请根据以下商品属性和候选广告文案进行评分。
+
+商品属性：
+{input}
+
+候选广告文案：
+{text}
+
+请从 5 个维度评分，每项 1 到 5 分：
+1. attribute_coverage：是否覆盖主要商品属性
+2. factual_consistency：是否避免编造未提供的信息
+3. naturalness：中文表达是否自然
+4. attractiveness：是否有电商广告吸引力
+5. compliance：是否避免夸大、绝对化、虚假承诺
+
+请严格输出如下 JSON 格式：
+{
+  "attribute_coverage": 1-5,
+  "factual_consistency": 1-5,
+  "naturalness": 1-5,
+  "attractiveness": 1-5,
+  "compliance": 1-5,
+  "total": 5-25
+}"""
+AGENT_JUDGE_SYSTEM = "You are a strict evaluator for Chinese e-commerce advertisement copy. You must judge whether the generated copy faithfully follows the given product attributes. Return JSON only."
+AGENT_JUDGE_PROMPT = """Please evaluate the following Chinese e-commerce ad copy.
+
+Product attributes:
+{input}
+
+Generated copy:
+{text}
+
+Important judging rule:
+Only evaluate attributes explicitly provided in the product attributes. Do not penalize the copy for not mentioning attributes that are not provided, such as length, sleeve type, collar type, brand, price, season, or target user, unless they appear in the input attributes.
+
+Scoring dimensions, each from 1 to 5:
+1. attribute_coverage: whether the copy covers the provided product attributes.
+2. factual_consistency: whether the copy avoids fabricating unsupported attributes.
+3. naturalness: whether the expression is fluent and natural.
+4. attractiveness: whether the copy is appealing for e-commerce.
+5. compliance: whether the copy avoids exaggerated or forbidden claims.
+
+Return JSON only in this format:
+{
+  "attribute_coverage": 1-5,
+  "factual_consistency": 1-5,
+  "naturalness": 1-5,
+  "attractiveness": 1-5,
+  "compliance": 1-5,
+  "issues": ["short issue 1", "short issue 2"],
+  "comment": "short explanation"
+}
+"""
+REWRITE_SYSTEM = "You are a professional Chinese e-commerce copywriter and compliance editor. Your task is to revise an ad copy according to product attributes and detected issues. Return the revised Chinese ad copy only. Do not explain."
+REWRITE_PROMPT = """Please revise the following Chinese e-commerce ad copy.
+
+Product attributes:
+{input}
+
+Original copy:
+{text}
+
+Detected issues:
+{issues}
+
+Judge comment:
+{comment}
+
+Revision requirements:
+1. Keep the copy faithful to the provided product attributes.
+2. Do not add unsupported attributes such as unprovided color, length, brand, season, price, target user, or fabric.
+3. Cover the important provided attributes as much as possible.
+4. Remove exaggerated or forbidden claims.
+5. Keep the style natural, attractive, and concise.
+6. Output only the revised Chinese ad copy. Do not include explanations.
+"""

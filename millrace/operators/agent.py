@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions import sql as S
 from millrace.functions import values as V
 from millrace.operators import rules
+from millrace.operators.shared import keep
 
 
 def attributes(e: str, s: str) -> str:
@@ -102,16 +103,28 @@ def _best(df: DataFrame) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def run(requests: DataFrame, judge=rules.judge_by_rule) -> DataFrame:
+def rewrite_by_rule(df: DataFrame) -> DataFrame:
+    """Diagnosed rows with source and rewritten."""
+    return df.withColumns({"source": F.lit("rewrite"), "rewritten": F.expr(rewrite(S.SPARK, "text", "gone"))})
+
+
+def finish(requests: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One report a request: final_copy, and an error where no candidate was chosen."""
+    got = chosen.select("id", F.col("candidate_id").alias("final_candidate_id"), F.col("text").alias("final_text"), "combined_score", "issues", "source")
+    out = requests.select("id", "input").join(got, "id", "left")
+    return out.withColumn("final_copy", F.coalesce("final_text", F.lit(""))).withColumn("error", F.when(F.col("final_candidate_id").isNull(), "no final candidate")).drop("final_text")
+
+
+def run(requests: DataFrame, judge=rules.judge_by_rule, rewriter=rewrite_by_rule) -> DataFrame:
     """One row a request: the candidate chosen, its scores and issues, whether it was rewritten, and the steps taken.
 
-    judge: DataFrame to DataFrame with the five judge scores and judge_total (a model's boundary). At most one rewrite, which
-    replaces the best candidate if it scores higher, ties to the earlier candidate.
+    judge: DataFrame to DataFrame with the five judge scores and judge_total; rewriter: DataFrame to DataFrame with source and
+    rewritten (both may be a model's boundary: see models). At most one rewrite, which replaces the best candidate if it
+    scores higher, ties to the earlier candidate. The first cycle is evaluated once, into a kept table.
     """
-    first = _evaluated(generate(requests.select("id", "input")), judge)
-    best = _best(first)
-    again = best.where(needs_rewrite())
-    new = again.select("id", "input", "attributes", F.lit(5).alias("pos"), F.concat("candidate_id", F.lit("_rewrite")).alias("candidate_id"), F.lit("rewrite").alias("source"), F.expr(rewrite(S.SPARK, "text", "gone")).alias("text"))
+    best = keep(_best(_evaluated(generate(requests.select("id", "input")), judge)), "best")
+    again = rewriter(best.where(needs_rewrite()))
+    new = again.select("id", "input", "attributes", F.lit(5).alias("pos"), F.concat("candidate_id", F.lit("_rewrite")).alias("candidate_id"), "source", F.col("rewritten").alias("text"))
     both = best.withColumn("was_rewritten", F.lit(False)).unionByName(_evaluated(new, judge).withColumn("was_rewritten", F.lit(True)))
     steps = F.when(F.col("tried"), "parse,generate,rule_evaluate,diagnose,judge,select,rewrite,rule_evaluate,diagnose,judge,select,finish").otherwise("parse,generate,rule_evaluate,diagnose,judge,select,finish")
     out = _best(both.withColumn("tried", F.max("was_rewritten").over(W.partitionBy("id"))))

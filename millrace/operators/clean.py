@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import sql as S
 from millrace.functions import values as V
+from millrace.operators.shared import keep
 
 
 def with_reason(df: DataFrame, content: str = "content", summary: str = "summary", others: dict = S.CJK, low_ratio: float = 0.6) -> DataFrame:
@@ -46,17 +47,19 @@ def keep_last(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     return one.select(*(F.col("p").alias(c) if c == pos else F.col(f"r.{c}").alias(c) for c in df.columns))
 
 
-def numbered(df: DataFrame, order: list[Column], to: str = "rn", slices: int = 64) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], to: str = "rn", slices: int | None = None) -> DataFrame:
     """df with a gapless row number from 1 in a global order, without one task that sees all rows.
 
-    Rows are range-partitioned by the order; numbers within a partition are shifted by the sizes of those before.
+    Rows are range-partitioned by the order, sorted and numbered within their slice, and written once to the shared folder:
+    range bounds are sampled anew at each evaluation, so both the rows and the sizes of the slices before come from that one
+    table. Rows that tie in the whole order get numbers in any order.
     """
-    df = df.repartitionByRange(slices, *order).withColumn("nb_part", F.spark_partition_id())
-    within = F.row_number().over(W.partitionBy("nb_part").orderBy(*order))
-    df = df.withColumn("nb_n", within)
-    sizes = df.groupBy("nb_part").agg(F.max("nb_n").alias("nb_size"))  # a row a partition
+    slices = slices or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.repartitionByRange(slices, *order).sortWithinPartitions(*order).withColumn("nb_id", F.monotonically_increasing_id())
+    dealt = keep(dealt.withColumns({"nb_part": F.shiftright("nb_id", 33).cast("int"), "nb_n": F.col("nb_id").bitwiseAND((1 << 33) - 1) + 1}).drop("nb_id"), "numbered")
+    sizes = dealt.groupBy("nb_part").agg(F.max("nb_n").alias("nb_size"))  # a row a slice
     before = sizes.select(F.col("nb_part").alias("nb_p"), (F.sum("nb_size").over(W.orderBy("nb_part")) - F.col("nb_size")).alias("nb_before"))
-    return df.join(F.broadcast(before), F.col("nb_part") == F.col("nb_p")).withColumn(to, F.col("nb_n") + F.col("nb_before")).drop("nb_part", "nb_n", "nb_size", "nb_p", "nb_before")
+    return dealt.join(F.broadcast(before), F.col("nb_part") == F.col("nb_p")).withColumn(to, F.col("nb_n") + F.col("nb_before")).drop("nb_part", "nb_n", "nb_p", "nb_before")
 
 
 def positional_split(df: DataFrame, bounds: list[tuple[str, int]], pos: Column) -> DataFrame:

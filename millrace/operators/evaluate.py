@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import sql as S
-from millrace.operators import clean
+from millrace.operators import clean, rules
 
 
 def summary(scored: DataFrame, systems: list[str] | None = None, by: str = "system", length_digits: int = 4) -> DataFrame:
@@ -51,11 +51,34 @@ def compare(systems: dict[str, DataFrame], key: str = "id", pos: str = "pos", n:
 
 def audit_sheet(a: DataFrame, b: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """k ids that both systems have (null: 'None'), drawn by hash, with both predictions and empty winner and reason."""
-    ident = lambda df, n: df.select(F.coalesce(F.col("id").cast("string"), F.lit("None")).alias("id"), F.col("prediction").alias(n)).dropDuplicates(["id"])
+    named = lambda df: df.select(F.coalesce(F.col("id").cast("string"), F.lit("None")).alias("id"), *(c for c in ("pos",) if c in df.columns), "prediction")
+    # a repeated id counts with its last row
+    ident = lambda df, n: clean.keep_last(named(df), ["id"], "pos" if "pos" in df.columns else "prediction").select("id", F.col("prediction").alias(n))
     both = ident(a, "a_prediction").join(ident(b, "b_prediction"), "id")
     return clean.hash_sample(both, "id", k, seed).orderBy("id").withColumns({"winner": F.lit(""), "reason": F.lit("")})
 
 
+def as_text(col: str):
+    """A column as text, null as ''."""
+    return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def inspect_pairs(pairs: DataFrame) -> DataFrame:
+    """Counts over pairs (input, chosen, rejected, chosen_score, rejected_score): all, equal texts, forbidden words in either,
+    the share of rejected ones with any, and pairs not in order. A score that is missing is computed by the rules."""
+    rows = pairs
+    for side in ("chosen", "rejected"):
+        rows = rules.score(rows.withColumns({"ip_text": F.col(side), "ip_stored": F.col(f"{side}_score")}), "input", "ip_text")
+        rows = rows.withColumns({f"ip_{side}": F.coalesce(F.col("ip_stored").try_cast("double"), "total_score"), f"ip_{side}_bad": F.col("forbidden_count") > 0})
+        rows = rows.drop(*rules.METRICS, "ip_text", "ip_stored")
+    n = F.count("*")
+    bad = F.count_if("ip_rejected_bad")
+    return rows.agg(
+        n.alias("n"), F.count_if(F.col("chosen") == F.col("rejected")).alias("same_text"), F.count_if("ip_chosen_bad").alias("chosen_forbidden"), bad.alias("rejected_forbidden"),
+        F.coalesce(F.bround(bad / F.nullif(n, F.lit(0)), 4), F.lit(0.0)).alias("rejected_forbidden_ratio"), F.count_if(F.col("ip_chosen") <= F.col("ip_rejected")).alias("abnormal"),
+    )
+
+
 def win_rates(sheet: DataFrame, labels: tuple[str, ...] = ("a", "b", "tie")) -> DataFrame:
     """Counts and percentages of each winner label, and b's win or tie; raises with the first rows that have another label."""
     w = F.lower(F.trim("winner"))

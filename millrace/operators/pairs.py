@@ -7,14 +7,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import sql as S
+from millrace.functions.values import JUDGE_KEYS
 from millrace.operators import rules
+from millrace.operators.shared import keep
 
 NEGATIVE_ORDER = ["exaggerated", "generic", "weak"]
 
 
 def candidates(df: DataFrame, extra: int = 0) -> DataFrame:
-    """id, input, reference rows to candidate rows: pos (from 1), source, text; gold, weak, exaggerated, generic, generic_i."""
+    """id, input, reference rows to candidate rows: pos (from 1), source, text; gold, weak, exaggerated, generic, generic_i.
+    parsed: the input's segments, found once a prompt, for rules.score()."""
     e = S.SPARK
+    df = df.withColumn("parsed", rules.segments("input"))
     df = df.withColumn("cd_v", F.expr(S.attr_values(e, "input", False)))
     made = [("gold", S.normalize(e, "reference")), ("weak", S.weaken(e, "reference", "cd_v")), ("exaggerated", S.exaggerate(e, "reference")), ("generic", S.generic(e, "cd_v"))]
     made += [(f"generic_{i}", S.generic(e, "cd_v")) for i in range(5, 5 + extra)]
@@ -72,13 +76,50 @@ def strict_reason(pairs: DataFrame, gap: float = 0.5) -> DataFrame:
     return pairs.withColumn("reason", reason)
 
 
+RULE_METRICS = ("coverage", "forbidden_count", "repetition_ratio", "length", "total_score")
+
+
+def _meta(key: str):
+    """What a pair's meta column holds of the two candidates."""
+    rule = lambda p: F.struct(*(F.col(p + c).alias(c) for c in RULE_METRICS))
+    judge = lambda p: F.struct(*(F.col(p + c).alias(c) for c in JUDGE_KEYS), F.col(p + "judge_total").alias("total"))
+    return F.struct(
+        F.lit("dpo_v2_model_generated_judge").alias("source"), F.col(key).alias("prompt_id"), F.col("best.candidate_id").alias("chosen_candidate_id"), F.col("candidate_id").alias("rejected_candidate_id"),
+        F.col("best.combined").alias("chosen_combined_score"), F.col("combined").alias("rejected_combined_score"), (F.col("best.combined") - F.col("combined")).alias("score_gap"),
+        rule("best.").alias("chosen_rule_metrics"), rule("").alias("rejected_rule_metrics"), judge("best.").alias("chosen_judge_scores"), judge("").alias("rejected_judge_scores"),
+    ).alias("meta")
+
+
+def trainer_columns(pairs: DataFrame) -> DataFrame:
+    """Preference pairs under the names that a trainer reads: prompt, query, chosen, rejected."""
+    return pairs.select(F.col("instruction").alias("prompt"), F.col("input").alias("query"), "chosen", "rejected")
+
+
+def trainer_rows(rows: DataFrame) -> DataFrame:
+    """Tuning rows under the names that a trainer reads: prompt, query, response."""
+    return rows.select(F.col("instruction").alias("prompt"), F.col("input").alias("query"), F.col("output").alias("response"))
+
+
+PAIR = ("instruction", "input", "chosen", "rejected")
+PAIR_META = (*PAIR, "chosen_source", "rejected_source", "chosen_score", "rejected_score")
+
+
+def pair_stats(judged: DataFrame, val_ratio: float = 0.15, key: str = "id", **gates) -> DataFrame:
+    """Prompts, those with pairs, pairs, and how many go to train and val. Candidates are scored once, into a kept table."""
+    judged = keep(judged, "judged")
+    got = best_vs_rest(judged, key, **gates).agg(F.count_distinct(key).alias("with_pairs"), F.count("*").alias("n_pairs"))  # one row
+    out = judged.agg(F.count_distinct(key).alias("prompts")).join(F.broadcast(got))
+    val = F.floor(F.col("n_pairs") * F.lit(val_ratio)).cast("long")
+    return out.select("prompts", "with_pairs", "n_pairs", (F.col("n_pairs") - val).alias("n_train"), val.alias("n_val"))
+
+
 def best_vs_rest(judged: DataFrame, key: str = "id", gap: float = 0.3, judge_gap: int = 2, most: int = 2) -> DataFrame:
     """Pairs of a prompt's best candidate by combined score with others far enough below, `most` at most, the best first."""
     ok = judged.where(F.length(F.expr(S.normalize(S.SPARK, "text"))).between(20, 220)).withColumn("combined", rules.combined_for_pairs())
     w = W.partitionBy(key)
     o = w.orderBy(F.desc("combined"), "pos")
-    best = F.first(F.struct("candidate_id", "combined", "total_score", "judge_total", "text")).over(o)
+    best = F.first(F.struct("candidate_id", "combined", "judge_total", "text", *RULE_METRICS, *JUDGE_KEYS)).over(o)
     rows = ok.withColumns({"n": F.count("*").over(w), "best": best, "rn": F.row_number().over(o)}).where("n >= 2 and rn > 1")
     gates = (F.col("best.combined") - F.col("combined") >= gap) & (F.col("best.total_score") > F.col("total_score")) & (F.col("best.judge_total") > F.col("judge_total")) & (F.col("best.judge_total") - F.col("judge_total") >= judge_gap)
     out = rows.where(gates).withColumn("k", F.row_number().over(o)).where(F.col("k") <= most)
-    return out.select(key, F.concat(key, F.lit("_pair_"), F.col("k")).alias("pair_id"), F.col("best.candidate_id").alias("chosen_id"), F.col("candidate_id").alias("rejected_id"), F.col("best.text").alias("chosen"), F.col("text").alias("rejected"), (F.col("best.combined") - F.col("combined")).alias("score_gap"))
+    return out.select(key, F.concat(key, F.lit("_pair_"), F.col("k")).alias("pair_id"), F.col("best.candidate_id").alias("chosen_id"), F.col("candidate_id").alias("rejected_id"), F.col("best.text").alias("chosen"), F.col("text").alias("rejected"), (F.col("best.combined") - F.col("combined")).alias("score_gap"), _meta(key))

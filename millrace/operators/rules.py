@@ -10,14 +10,22 @@ from millrace.functions import sql as S
 METRICS = ["coverage", "forbidden_count", "forbidden_words", "conflicts", "conflict_count", "repetition_ratio", "length", "length_score", "total_score"]
 
 
-def score(df: DataFrame, input_col: str = "input", text_col: str = "text", others: dict = S.CJK) -> DataFrame:
-    """df with the nine rule metrics as columns. others: regex of the characters outside the class that is counted.
+def segments(input_col: str = "input"):
+    """An input's 'key=value' segments, for rows that are exploded before they are scored."""
+    return F.expr(S.attr_segments(S.SPARK, input_col))
+
+
+def score(df: DataFrame, input_col: str = "input", text_col: str = "text", others: dict = S.CJK, parsed: str | None = None) -> DataFrame:
+    """df with the nine rule metrics as columns. others: regex of the characters outside the class that is counted; parsed:
+    a column with the input's segments(), which is then dropped.
 
     Narrow: no shuffle. Each step is a projection of its own, so that values used several times are computed once.
     """
     e = S.SPARK
-    df = df.withColumn("rs_t", F.expr(S.normalize(e, text_col))).withColumn("rs_v", F.expr(S.attr_values(e, input_col)))
-    df = df.withColumns({f"rs_{i}": F.expr(S.attr(e, input_col, k)) for i, k in enumerate(("类型", "颜色", "材质"))}).withColumn("rs_c", F.expr(S.only(e, "rs_t", others)))
+    df = df.withColumns({"rs_t": F.expr(S.normalize(e, text_col)), "rs_s": F.col(parsed) if parsed else segments(input_col)})
+    df = df.drop(parsed) if parsed else df
+    df = df.withColumns({f"rs_{i}": F.expr(S.segment_value(e, "rs_s", k)) for i, k in enumerate(("类型", "颜色", "材质"))})
+    df = df.withColumns({"rs_v": F.expr(S.segment_values(e, "rs_s")), "rs_c": F.expr(S.only(e, "rs_t", others))})
     df = df.withColumns({"rs_g": F.expr(S.grams(e, "rs_c")), "rs_n": F.length("rs_c"), "rs_cov": F.expr(S.coverage(e, "rs_v", "rs_t")), "forbidden_words": F.expr(S.forbidden(e, "rs_t")), "conflicts": F.expr(S.conflicts(e, "rs_0", "rs_1", "rs_2", "rs_t"))})
     df = df.withColumns({"rs_rep": F.expr(S.repetition(e, "rs_g")), "rs_len": F.expr(S.length_score("rs_n")), "forbidden_count": F.size("forbidden_words"), "conflict_count": F.size("conflicts")})
     total = F.expr(S.total_score("rs_cov", "rs_len", "rs_rep", "forbidden_count", "conflict_count"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import sql as S
 from millrace.functions import values as V
-from millrace.operators import agent, clean, evaluate, pairs, rules
+from millrace.operators import agent, clean, convert, evaluate, models, pairs, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -170,10 +170,10 @@ def dedup_in_array(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", F.array_join(lines, "\n").alias("kept"))
 
 
-BOUNDS = [("train", 1100), ("val", 1200), ("pool", 1800)]
+BOUNDS = [("train", 11_000), ("val", 12_000), ("pool", 18_000)]
 
 
-@query("select o_orderkey, case when rn <= 1100 then 'train' when rn <= 1200 then 'val' else 'pool' end split from (select o_orderkey, row_number() over (order by o_orderkey) rn from orders) where rn <= 1800")
+@query("select o_orderkey, case when rn <= 11000 then 'train' when rn <= 12000 then 'val' else 'pool' end split from (select o_orderkey, row_number() over (order by o_orderkey) rn from orders) where rn <= 18000")
 def positional_split(spark, sf):
     return clean.positional_split(_table(spark, sf, "orders").select("o_orderkey"), BOUNDS, F.col("o_orderkey")).select("o_orderkey", "split")
 
@@ -209,7 +209,7 @@ paired as (select id, chosen, chosen_source, chosen_score, text rejected, source
 
 def _candidates(spark, sf):
     made = pairs.candidates(requests(spark, sf).select("id", "input", "reference"))
-    return rules.score(made)
+    return rules.score(made, parsed="parsed")
 
 
 @query(f"with {CANDIDATES} select id, source, {METRICS} from scored")
@@ -312,11 +312,36 @@ def best_vs_rest_pairs(spark, sf):
     return pairs.best_vs_rest(_judged(spark, sf)).select("id", "pair_id", "chosen_id", "rejected_id", F.bround("score_gap", 6).alias("score_gap"))
 
 
-@query(f"with {CANDIDATES}, {JUDGED}, {BEST} select (select count(distinct id) from total) prompts, count(distinct id) with_pairs, count(*) n_pairs from pairs where k <= 2")
+@query(f"with {CANDIDATES}, {JUDGED}, {BEST}, s as (select (select count(distinct id) from total) prompts, count(distinct id) with_pairs, count(*) n_pairs from pairs where k <= 2) select *, n_pairs - cast(floor(n_pairs * 0.15::double) as bigint) n_train, cast(floor(n_pairs * 0.15::double) as bigint) n_val from s")
 def pair_stats(spark, sf):
-    df = _judged(spark, sf)
-    got = pairs.best_vs_rest(df).agg(F.count_distinct("id").alias("with_pairs"), F.count("*").alias("n_pairs"))
-    return df.agg(F.count_distinct("id").alias("prompts")).join(F.broadcast(got)).select("prompts", "with_pairs", "n_pairs")
+    return pairs.pair_stats(_judged(spark, sf))
+
+
+@query(f"""with {CANDIDATES}, {JUDGED}, {BEST} select p.id, p.chosen_id chosen_candidate_id, p.rejected_id rejected_candidate_id, {S.rounded(D, 'c.combined', 6)} chosen_combined_score, {S.rounded(D, 'r.combined', 6)} rejected_combined_score,
+ c.coverage chosen_coverage, r.total_score rejected_total_score, c.judge_total chosen_judge, r.compliance rejected_compliance from pairs p join ok c on c.candidate_id = p.chosen_id join ok r on r.candidate_id = p.rejected_id where p.k <= 2""")
+def pair_meta_nested(spark, sf):
+    made = pairs.best_vs_rest(_judged(spark, sf)).select("id", "meta")
+    scores = [F.bround(f"meta.{c}", 6).alias(c) for c in ("chosen_combined_score", "rejected_combined_score")]
+    return made.select("id", "meta.chosen_candidate_id", "meta.rejected_candidate_id", *scores, F.col("meta.chosen_rule_metrics.coverage").alias("chosen_coverage"), F.col("meta.rejected_rule_metrics.total_score").alias("rejected_total_score"), F.col("meta.chosen_judge_scores.total").alias("chosen_judge"), F.col("meta.rejected_judge_scores.compliance").alias("rejected_compliance"))
+
+
+@query(f"with {CANDIDATES}, {CHOSEN}, {LOW} select '{V.INSTRUCTION}' instruction, q.input, chosen, rejected, chosen_source, rejected_source, chosen_score, rejected_score from paired join q using (id)")
+def pair_meta(spark, sf):
+    return pairs.negatives(_candidates(spark, sf)).withColumn("instruction", F.lit(V.INSTRUCTION)).select(*pairs.PAIR_META)
+
+
+@query(f"with {CANDIDATES}, {CHOSEN}, {LOW} select '{V.INSTRUCTION}' prompt, q.input as query, chosen, rejected from paired join q using (id)")
+def trainer_pairs(spark, sf):
+    return pairs.trainer_columns(pairs.negatives(_candidates(spark, sf)).withColumn("instruction", F.lit(V.INSTRUCTION)))
+
+
+@query(f"""with {CANDIDATES}, {CHOSEN}, {LOW}, f as (select *, len({S.forbidden(D, S.normalize(D, 'chosen'))}) > 0 cf, len({S.forbidden(D, S.normalize(D, 'rejected'))}) > 0 rf from paired)
+ select count(*) n, count(*) filter (where chosen = rejected) same_text, count(*) filter (where cf) chosen_forbidden, count(*) filter (where rf) rejected_forbidden, {R4('count(*) filter (where rf)::double / count(*)')} rejected_forbidden_ratio, count(*) filter (where chosen_score <= rejected_score) abnormal from f""")
+def pair_inspection(spark, sf):
+    """Every second stored score is taken away, so that it has to be computed again."""
+    made = pairs.negatives(_candidates(spark, sf))
+    gone = F.crc32(F.col("id").cast("binary")) % 2 == 0
+    return evaluate.inspect_pairs(made.withColumns({c: F.when(~gone, F.col(c)) for c in ("chosen_score", "rejected_score")}))
 
 
 # evaluation
@@ -366,6 +391,103 @@ def missing_field_counts(spark, sf):
     return evaluate.missing(requests(spark, sf), ["input", "reference"])
 
 
+# records in one shape
+
+RECORDS = """select p_partkey as pos, case when p_partkey % 3 = 0 then '' when p_partkey % 7 = 0 then null else ' r ' || p_partkey end as id, 'Say  it' as instruction, p_name as input,
+ case when p_partkey % 2 = 0 then '' when p_partkey % 5 = 0 then null else p_type end as reference, p_brand as output,
+ case p_partkey % 4 when 0 then '{"base": "a  b ", "sft": null, "dpo": "' || p_name || '"}' when 1 then '[1]' when 2 then 'no json' else '{"sft": "' || p_type || '", "base": ""}' end as generations from part"""
+
+
+def _records(spark, sf):
+    picks = [c.strip() for c in ("p_partkey as pos", "case when p_partkey % 3 = 0 then '' when p_partkey % 7 = 0 then null else ' r ' || p_partkey end as id", "'Say  it' as instruction", "p_name as input", "case when p_partkey % 2 = 0 then '' when p_partkey % 5 = 0 then null else p_type end as reference", "p_brand as output")]
+    texts = """case p_partkey % 4 when 0 then '{"base": "a  b ", "sft": null, "dpo": "' || p_name || '"}' when 1 then '[1]' when 2 then 'no json' else '{"sft": "' || p_type || '", "base": ""}' end as generations"""
+    return _table(spark, sf, "part").selectExpr(*picks, texts)
+
+
+@query(f"""with r as (select *, row_number() over (order by pos) n from ({RECORDS})) select case when coalesce(id, '') = '' then 'sample_' || lpad(n::varchar, 6, '0') else trim(id) end id, 'Say it' as instruction, input,
+ case when coalesce(reference, '') = '' then output else reference end as reference from r""")
+def convert_records(spark, sf):
+    return convert.records(_records(spark, sf))
+
+
+@query("""with r as (select *, row_number() over (order by p_partkey) n, p_partkey % 4 m from part) select case when p_partkey % 3 = 0 or p_partkey % 7 = 0 then 'test_' || lpad(n::varchar, 6, '0') else 'r ' || p_partkey end id,
+ case m when 0 then 'a b' else '' end base, case m when 3 then p_type else '' end sft, case m when 0 then p_name else '' end dpo from r""")
+def generations_normalized(spark, sf):
+    return convert.generations(_records(spark, sf))
+
+
+@query(f"with q as (select *, {S.attr_values(D, 'input', False)} cv from ({REQUESTS})) select id, {S.base_text(D, 'reference', 'cv')} base, {S.sft_text(D, 'reference', 'cv')} sft, {S.dpo_text(D, 'reference', 'cv')} dpo from q")
+def mock_generations(spark, sf):
+    return convert.mock_generations(requests(spark, sf))
+
+
+@query(f"select 'dev_' || lpad(cast(row_number() over (order by pos) as varchar), 6, '0') id, '{V.INSTRUCTION}' instruction, input, reference, content raw_content from ({REQUESTS})")
+def eval_rows(spark, sf):
+    return convert.eval_rows(requests(spark, sf), "dev", V.INSTRUCTION)
+
+
+@query("select p_partkey, coalesce(cast(case when p_size > 10 then p_size end as varchar), '') as shown from part")
+def to_text(spark, sf):
+    return _table(spark, sf, "part").withColumn("n", F.when(F.col("p_size") > 10, F.col("p_size"))).select("p_partkey", evaluate.as_text("n").alias("shown"))
+
+
+# models
+
+@query(f"select id, '{V.INSTRUCTION}' || chr(10) || input || chr(10) || '{V.PLAIN_PROMPT_END}' as prompt from ({REQUESTS})")
+def plain_prompts(spark, sf):
+    return requests(spark, sf).withColumn("instruction", F.lit(V.INSTRUCTION)).select("id", models.plain_prompt().alias("prompt"))
+
+
+def _said(template: str, **by: str) -> str:
+    """SQL of a template with its names replaced one after the other."""
+    out = S.text(template)
+    for name, column in by.items():
+        out = f"replace({out}, '{{{name}}}', {column})"
+    return out
+
+
+@query(f"select id, {_said(V.JUDGE_PROMPT, input='input', text='reference')} judge, {_said(V.AGENT_JUDGE_PROMPT, input='input', text='reference')} agent_judge from ({REQUESTS})")
+def judge_prompts(spark, sf):
+    return requests(spark, sf).select("id", models.judge_prompt("reference").alias("judge"), models.agent_judge_prompt("reference").alias("agent_judge"))
+
+
+def _parrot():
+    """Stands in for a model: its answer is made of the prompt's length; every seventh length fails."""
+
+    def answer(prompts: list[str]) -> list[str]:
+        if any(len(p) % 7 == 0 for p in prompts):
+            raise RuntimeError("out of memory")
+        return ["" if len(p) % 5 == 0 else f" length  {len(p)}\n" for p in prompts]
+
+    return answer
+
+
+@query("select p_partkey, case when length(p_name) % 7 = 0 or length(p_name) % 5 = 0 then '' else 'length ' || length(p_name) end prediction, len(case when length(p_name) % 7 = 0 or length(p_name) % 5 = 0 then [] else [1] end)::int n_candidates from part")
+def model_predictions(spark, sf):
+    rows = _table(spark, sf, "part").select("p_partkey", "p_name")
+    out = models.sample(models.predict(rows, F.col("p_name"), _parrot), F.col("p_name"), _parrot, 3)
+    return out.select("p_partkey", "prediction", F.size("candidates").alias("n_candidates"))
+
+
+def _critic():
+    """Stands in for a judge: scores by the length of the copy; fails on every third length."""
+
+    def answer(prompts: list[str]) -> list[str]:
+        sizes = [len(p.split("Generated copy:\n")[1].split("\n\nImportant judging rule:")[0]) for p in prompts]
+        if any(n % 3 == 0 for n in sizes):
+            raise RuntimeError("no answer")
+        return [f'So: {{"attribute_coverage": {n % 9}, "compliance": "4.9", "issues": ["dull"]}}' for n in sizes]
+
+    return answer
+
+
+@query(f"""with {CANDIDATES}, {JUDGED}, m as (select *, length(text) % 3 = 0 failed from total) select candidate_id, case when failed then attribute_coverage else greatest(1, least(5, length(text) % 9)) end::int attribute_coverage, case when failed then compliance else 4 end::int compliance,
+ case when failed then judge_total else greatest(1, least(5, length(text) % 9)) + 3 * 3 + 4 end::int judge_total, case when failed then 'no answer' end judge_error from m""")
+def model_judge(spark, sf):
+    rows = _candidates(spark, sf).where("text <> ''").withColumn("candidate_id", F.concat("id", F.lit("_cand_"), "pos"))
+    return models.judge_by_model(_critic)(rows).select("candidate_id", "attribute_coverage", "compliance", "judge_total", "judge_error")
+
+
 SYSTEMS = {"base": ("documents", "doc_id", "doc_id", "text"), "sft": ("pages", "page_id", "page_id", "html"), "dpo": ("conversations", "conv_id", "turn", "text"), "v2": ("part", "p_partkey", "p_partkey", "p_name")}
 
 
@@ -440,6 +562,28 @@ def agent_diagnose(spark, sf):
     return _diagnosed(spark, sf).select("id", "candidate_id", F.array_join("issues", ";").alias("issues"))
 
 
+def _editor():
+    """Stands in for a rewriter: gives the original copy with a lead-in; fails on every second length."""
+
+    def answer(prompts: list[str]) -> list[str]:
+        texts = [p.split("Original copy:\n")[1].split("\n\nDetected issues:")[0] for p in prompts]
+        if any(len(t) % 2 for t in texts):
+            raise RuntimeError("no answer")
+        return [f"改写后的文案：“{t}”" for t in texts]
+
+    return answer
+
+
+@query(f"with {AGENT} select id, candidate_id, case when length(text) % 2 = 1 then 'simple_rewrite_fallback' else 'llm_rewrite' end source, case when length(text) % 2 = 1 then {agent.rewrite(D, 'text', 'gone')} else text end rewritten, case when length(text) % 2 = 1 then 'no answer' end rewrite_error from diag")
+def model_rewrite(spark, sf):
+    return models.rewrite_by_model(_editor)(_diagnosed(spark, sf)).select("id", "candidate_id", "source", "rewritten", "rewrite_error")
+
+
+@query(f"with {AGENT} select id, candidate_id, {_said(V.REWRITE_PROMPT, input='input', text='text', issues="case when len(issues) > 0 then '- ' || array_to_string(issues, chr(10) || '- ') else '- No explicit issue' end", comment="''")} prompt from diag")
+def rewrite_prompts(spark, sf):
+    return _diagnosed(spark, sf).select("id", "candidate_id", models.rewrite_prompt().alias("prompt"))
+
+
 @query(f"with {AGENT} select id, candidate_id, {agent.rewrite(D, 'text', 'gone')} rewritten from diag")
 def agent_simple_rewrite(spark, sf):
     return _diagnosed(spark, sf).select("id", "candidate_id", F.expr(agent.rewrite(S.SPARK, "text", "gone")).alias("rewritten"))

@@ -80,12 +80,9 @@ def report(df: DataFrame, most: int = 10_000) -> str:
 
 
 def markdown(df: DataFrame, most: int = 10_000) -> str:
-    """A small result as a Markdown table."""
-    rows = [df.columns, ["---"] * len(df.columns), *(["" if x is None else str(x).replace("|", "\\|").replace("\n", " ") for x in r] for r in df.limit(most).collect())]
+    """A small result as a Markdown table; raises if it has more than `most` rows."""
+    found = df.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError("too many rows for a report")
+    rows = [df.columns, ["---"] * len(df.columns), *(["" if x is None else str(x).replace("|", "\\|").replace("\n", " ") for x in r] for r in found)]
     return "\n".join("| " + " | ".join(r) + " |" for r in rows)
-
-
-def chat_messages(system: str, instruction: str = "instruction", text: str = "input"):
-    """Column of system and user messages."""
-    one = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
-    return F.array(one("system", F.lit(system)), one("user", F.concat_ws("\n", instruction, text)))

@@ -11,8 +11,3 @@ from millrace.operators import rules
 def score_stream(rows: DataFrame, path: str, checkpoint: str, input_col: str = "input", text_col: str = "text") -> StreamingQuery:
     """Append scored rows to Parquet as they come; a restart goes on from the checkpoint."""
     return rules.score(rows, input_col, text_col).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def with_generation(df: DataFrame, generate, schema: str) -> DataFrame:
-    """A model's boundary: generate takes and gives an iterator of pandas frames, and loads its model once a worker."""
-    return df.mapInPandas(generate, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import sql as S
 from millrace.functions import values as V
-from millrace.operators import agent, clean, evaluate, pairs, rules
+from millrace.operators import agent, clean, convert, evaluate, models, pairs, rules
 from millrace.plans import catalogue
 from millrace.sources import records
 from millrace.streaming import scoring
@@ -82,6 +82,66 @@ def test_order_and_splits(spark):
     assert clean.head(df, 0).count() == 100 and clean.head(df, 0, none_below_one=True).count() == 0 and clean.head(df, 3).count() == 3
 
 
+def test_numbers_of_many_rows(spark):
+    """500,000 rows with a wide column, numbered by a hash order: every number once, the split exact, each time alike."""
+    df = spark.range(500_000, numPartitions=7).select(F.col("id").alias("pos"), F.concat(F.lit("x" * 80), F.md5(F.col("id").cast("string"))).alias("text"))
+    got = clean.numbered(df.withColumn("h", clean.hash_order("pos")), [F.col("h"), F.col("pos")]).agg(F.count_distinct("rn"), F.min("rn"), F.max("rn")).first()
+    assert tuple(got) == (500_000, 1, 500_000)
+    seen = set()
+    for _ in range(3):
+        val = clean.hash_split(df, "pos", 0.2).where("split = 'val'").agg(F.count("*").alias("n"), F.sum("pos").alias("s")).first()
+        seen.add((val.n, val.s))
+    assert len(seen) == 1 and seen.pop()[0] == 100_000
+
+
+def test_scoring_demo(spark):
+    """The demo case: values derived by hand from the rules."""
+    r = rules.score(spark.createDataFrame([("商品属性：类型=裙；版型=宽松；风格=通勤。", "裙宽松通勤" + "".join(chr(0x5000 + i) for i in range(41)))], "input string, text string")).first()
+    assert (r.coverage, r.forbidden_count, r.conflict_count, r.length, r.length_score, r.repetition_ratio, r.total_score) == (1.0, 0, 0, 46, 0.6703, 0.0, 3.0879)
+
+
+@pytest.mark.parametrize(
+    ("total", "coverage", "repetition", "judge", "combined"),
+    [(3.0, 1.0, 0.0, 24, 3.176), (3.5, 1.0, 0.0, 24, 3.451), (3.2742, 1.0, 0.0385, 24, 3.31526), (3.5, 1.0, 0.0, 24, 3.451)],
+)
+def test_combined_scores_of_a_known_trace(spark, total, coverage, repetition, judge, combined):
+    df = spark.createDataFrame([(total, coverage, 0, repetition, judge)], "total_score double, coverage double, forbidden_count int, repetition_ratio double, judge_total int")
+    assert abs(df.select(rules.combined_for_agent().alias("c")).first().c - combined) < 1e-9
+
+
+def test_models(spark):
+    def load():
+        def answer(prompts):
+            if "bad" in prompts:
+                raise RuntimeError("out of memory")
+            return [p.upper() for p in prompts]
+
+        return answer
+
+    df = spark.createDataFrame([(1, "a  b"), (2, "bad"), (3, ""), (4, None)], "id long, p string").coalesce(1)
+    assert {r.id: r.prediction for r in models.predict(df, F.coalesce("p", F.lit("")), load).collect()} == {1: "A B", 2: "", 3: "", 4: ""}
+    assert {r.id: r.candidates for r in models.sample(df, F.coalesce("p", F.lit("")), load, 3).collect()} == {1: ["A B"], 2: [], 3: [], 4: []}
+    assert models.predict(df.limit(0), F.col("p"), load).count() == 0
+    assert df.select(models.filled("{x} and {y}{x}", x=F.lit("{y}"), y=F.col("p")).alias("t")).first().t == "{y} and a  b{y}"
+
+
+def test_agent_with_models(spark):
+    df = spark.createDataFrame([(1, "商品属性：类型=裙；颜色=黑色；材质=雪纺；风格=优雅。")], "id long, input string")
+    judge = models.judge_by_model(lambda: lambda prompts: ['{"attribute_coverage": 5, "issues": ["x", "x"], "comment": "ok"}'] * len(prompts), most=2)
+    editor = models.rewrite_by_model(lambda: lambda prompts: ["改写文案：黑色雪纺裙优雅"] * len(prompts))
+    r = agent.run(df, judge, editor).first()
+    assert r.trace.endswith("finish") and "judge_issue: x" in r.issues and r.issues.count("judge_issue: x") == 1
+    none = agent.finish(df.union(df.select(F.lit(2).cast("long"), "input")), agent.run(df)).collect()
+    assert {x.id: x.error for x in none} == {1: None, 2: "no final candidate"} and {x.id for x in none if x.final_copy} == {1}
+
+
+def test_odd_records(spark):
+    df = spark.createDataFrame([(1, None, None, None, None, None, None), (2, " ", "x", "y", "", "out", '{"base": 1}'), (3, "k", "x", "y", "ref", "out", "5")], "pos long, id string, instruction string, input string, reference string, output string, generations string")
+    assert [(r.id, r.reference) for r in convert.records(df).orderBy("id").collect()] == [("k", "ref"), ("sample_000001", ""), ("sample_000002", "out")]
+    assert [tuple(r) for r in convert.generations(df).orderBy("id").collect()] == [("k", "", "", ""), ("test_000001", "", "", ""), ("test_000002", "1", "", "")]
+    assert convert.records(df.limit(0)).count() == 0
+
+
 def test_pairs_keep_their_promises(spark, sf):
     made = pairs.strict_reason(pairs.negatives(rules.score(pairs.candidates(catalogue.requests(spark, sf).select("id", "input", "reference"), extra=2)))).collect()
     assert made and all(r.chosen != r.rejected for r in made)
