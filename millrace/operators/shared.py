@@ -47,3 +47,15 @@ def keep(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A point to release() from."""
+    return len(_written)
+
+
+def release(since: int) -> None:
+    """Drop the tables kept since mark(), but the last one, which no longer needs them."""
+    for spark, path in _written[since:-1]:
+        drop(spark, path)
+    del _written[since:-1]
