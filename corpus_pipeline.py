@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import mixing, packing, quality, simhash, suffixes
 from millrace.llm.common import keep, table
+from millrace.operators.shared import mark, release
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 NEAR_WORDS, NEAR_LIKENESS, NEAR_BITS = 5, 0.8, 11
@@ -62,5 +63,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        since = mark()
         docs = keep(stage(spark, docs, sf_dir), name)
+        release(since)
     return STAGES[-1][1](spark, docs, sf_dir)
