@@ -31,6 +31,7 @@ SPANS = ((0, 21), (21, 21), (42, 22))
 HOMES, BATCH = 1 << 14, 3_000
 FIRST = 16  # what open_pairs() gives a text in the first round; each later one gives four times as many, until none had more
 SKETCH = 512
+BROADCAST = 1_000_000  # text hashes, 8 bytes each
 PRINTS = ("fp", "fp2")
 PACKED = "key long, homes binary, others binary"
 NODE = np.dtype([("fp", "<i8"), ("th", "<i8"), ("component", "<i8"), ("size", "<i8"), ("sketch", "u1", SKETCH // 8)])
@@ -388,10 +389,16 @@ def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"t": frame["th"], "packed": [z.compress((x or "").encode("utf-8", "surrogatepass")) for x in frame["text"]]})
 
 
+def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows(th, text) of the hashes wanted: no text is shuffled where they are few enough to broadcast."""
+    wanted = keep(wanted.select("th").distinct(), "wanted")
+    return rows.select("th", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted, "th", "left_semi")
+
+
 def _checked(rows: DataFrame, edges: DataFrame, words: int, least: float) -> DataFrame:
     """Links a, b: the edges(ta, tb) whose whole texts are alike."""
-    ends = edges.select(F.col("ta").alias("th")).union(edges.select("tb")).distinct()
-    packed = keep(rows.select("th", "text").join(ends, "th", "left_semi").mapInPandas(_packed, "t long, packed binary").dropDuplicates(["t"]), "texts")
+    ends = edges.select(F.col("ta").alias("th")).union(edges.select("tb"))
+    packed = keep(_texts_of(rows, ends).mapInPandas(_packed, "t long, packed binary").dropDuplicates(["t"]), "texts")
     side = lambda t, p: packed.select(F.col("t").alias(t), F.col("packed").alias(p))
     met = edges.join(side("ta", "pa"), "ta").join(side("tb", "pb"), "tb").select("ta", "tb", "pa", "pb")
     return met.mapInPandas(lambda it: _alike(it, words, least), "a long, b long")
@@ -424,8 +431,7 @@ def like_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int =
         edges, crowded = (found, open_) if edges is None else (edges.union(found), crowded.union(open_))
     edges = keep(edges.distinct(), "edges")
     crowded = keep(crowded, "crowded")
-    texts = rows.select("th", "text").join(crowded.select("th").distinct(), "th", "left_semi")
-    sketches = keep(texts.mapInPandas(lambda it: _sketched(it, words), "th long, size long, sketch binary").dropDuplicates(["th"]), "sketches")
+    sketches = keep(_texts_of(rows, crowded).mapInPandas(lambda it: _sketched(it, words), "th long, size long, sketch binary").dropDuplicates(["th"]), "sketches")
     found = connected_components(_checked(rows, edges, words, least))
     tagged = keep(heads.join(found, F.col("th") == F.col("node"), "left").select("th", "first", F.coalesce("component", "th").alias("component")), "tagged")
     limit, more = FIRST, not crowded.isEmpty()

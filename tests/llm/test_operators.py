@@ -455,6 +455,29 @@ def test_quality(spark, odd, none, sf):
     assert right > 0.9 and auc > 0.9, (right, auc)
 
 
+def test_quality_votes(spark, sf):
+    """Cosines, neighbours and votes recomputed one by one, and the contract's threshold."""
+    from binascii import crc32
+
+    folder = sf.replace("0.001", "0.01")
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = quality.fit(docs, labels)
+    learnt = {r.doc_id: r.quality for r in labels.collect() if crc32(str(r.doc_id).encode()) % 5}
+    assert len(model.labels) == len({r.doc_id for r in docs.select("doc_id").collect()} & set(learnt))
+    got = {r.doc_id: r for r in quality.op6_quality(spark, folder).collect()}
+    for i, text in plain(docs.where("doc_id % 25 = 0")):
+        v = np.zeros(model.latent.shape[1])
+        for term, n in quality.terms(text).items():
+            if term in model.index:
+                v += (1 + math.log(n)) * model.latent[model.index[term]].astype("f8")
+        cosines = [float(v @ w / (np.linalg.norm(v) * np.linalg.norm(w))) for w in model.vectors.astype("f8")]
+        near = sorted(range(len(cosines)), key=lambda j: -cosines[j])[: quality.NEIGHBOURS]
+        weight = [max(cosines[j], 0) ** quality.POWER for j in near]
+        want = sum(w * model.labels[j] for w, j in zip(weight, near)) / sum(weight)
+        assert abs(got[i].score - want) < 0.02, i
+        assert got[i].predicted == int(got[i].score >= 0.3) and got[i].held_out == (crc32(str(i).encode()) % 5 == 0)
+
+
 # 7
 
 
