@@ -18,9 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Query, keep, table
+from millrace.llm.common import Query, keep, table, trimmed
 
 SAMPLE, TERMS, RANK, NEIGHBOURS, POWER, THRESHOLD = 3000, 6000, 48, 15, 4, 0.3
+OUT = 1_024  # rows handed back at once
 CLASSES = bytes(0x39 if 0x30 <= c <= 0x39 else 0x41 if 0x41 <= c <= 0x5A else 0x61 if 0x61 <= c <= 0x7A or c >= 0x80 else c for c in range(256))
 
 
@@ -141,19 +142,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_terms: int =
     return Model(index, latent, np.ascontiguousarray(vectors), y, float(y.mean()))
 
 
-def _score(frames: Iterator[pd.DataFrame], model, k: int, power: int) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        yield frame.drop(columns="text").assign(score=vote(model.value, list(frame["text"]), k, power))
+def _score(frames: Iterator[pd.DataFrame], model, k: int, power: int, names: list[str]) -> Iterator[pd.DataFrame]:
+    for whole in frames:
+        for lo in range(0, len(whole), OUT):
+            frame = whole.iloc[lo : lo + OUT]
+            yield frame[names].assign(score=vote(model.value, list(frame["text"]), k, power))
 
 
 def score(docs: DataFrame, model: Model, k: int = NEIGHBOURS, power: int = POWER, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score (0 to 1), and the columns of carry. A null text counts as empty and is scored by its figures; a text
     that shares no term with the sample gets the sample's mean label. Repeated rows stay; other columns are ignored."""
-    kept = {c: f"carry_{i}" for i, c in enumerate(carry)}
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(f"`{c}`").alias(x) for c, x in kept.items()))
+    kept = {c: "text" if c == "text" else f"carry_{i}" for i, c in enumerate(carry)}  # the text goes to Python once
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(f"`{c}`").alias(x) for c, x in kept.items() if c != "text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by sample, n_terms and rank
     schema = "doc_id long, " + "".join(f"{x} {rows.schema[x].dataType.simpleString()}, " for x in kept.values()) + "score double"
-    return rows.mapInPandas(lambda it: _score(it, shared, k, power), schema).withColumnsRenamed({x: c for c, x in kept.items()})
+    return rows.mapInPandas(lambda it: trimmed(_score(it, shared, k, power, ["doc_id", *kept.values()])), schema).withColumnsRenamed({x: c for c, x in kept.items()})
 
 
 def op6_quality(spark, sf_dir):

@@ -23,12 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Query, keep, partitions, table, whole_groups
+from millrace.llm.common import Query, arrow_bytes, keep, partitions, table, trimmed, whole_groups
 from millrace.llm.components import connected_components
 
 GENERATOR, WIDTH, CHECKS, RADIUS = 0xC75, 23, 11, 3  # x^11+x^10+x^6+x^5+x^4+x^2+1
 SPANS = ((0, 21), (21, 21), (42, 22))
-HOMES, BATCH = 1 << 14, 3_000
+HOMES, BATCH, OUT = 1 << 14, 3_000, 512  # OUT: rows of packed groups handed to the JVM at once
+ARROW = 4 << 20  # bytes of whole texts or packed groups that a worker gets at once
 FIRST = 16  # what open_pairs() gives a text in the first round; each later one gives four times as many, until none had more
 SKETCH = 512
 BROADCAST = 1_000_000  # text hashes, 8 bytes each
@@ -140,7 +141,9 @@ def _sent_together(frames: Iterator[pd.DataFrame], within: tuple[int, ...], spli
         cut = (lo + (np.add.reduceat(home.astype("i8"), lo) if len(lo) else lo)).tolist()
         hi = [*lo[1:].tolist(), len(key)]
         at = list(zip(lo.tolist(), cut, hi))
-        yield pd.DataFrame({"key": key[lo], "homes": [data[size * a : size * b] for a, b, _ in at], "others": [data[size * b : size * c] for _, b, c in at]})
+        for of in range(0, len(at), OUT):
+            some = at[of : of + OUT]
+            yield pd.DataFrame({"key": key[lo[of : of + OUT]], "homes": [data[size * a : size * b] for a, b, _ in some], "others": [data[size * b : size * c] for _, b, c in some]})
 
 
 def nodes(frame: pd.DataFrame) -> np.ndarray:
@@ -329,7 +332,7 @@ def open_pairs(met: np.ndarray, home: np.ndarray, bits: int, least: float, limit
     fp = fp.view("u8")
     a, b, more = [], [], False
     of = np.nonzero(home)[0]
-    for lo in range(0, len(of), tile := max(1, 250_000 // len(fp))):
+    for lo in range(0, len(of), tile := max(1, 100_000 // len(fp))):
         some = of[lo : lo + tile]
         near = (np.bitwise_count(fp[some, None] ^ fp[None, :]) <= bits) & (component[some, None] != component[None, :])
         near &= ~home[None, :] | (node[some, None] < node[None, :])
@@ -401,7 +404,7 @@ def _checked(rows: DataFrame, edges: DataFrame, words: int, least: float) -> Dat
     packed = keep(_texts_of(rows, ends).mapInPandas(_packed, "t long, packed binary").dropDuplicates(["t"]), "texts")
     side = lambda t, p: packed.select(F.col("t").alias(t), F.col("packed").alias(p))
     met = edges.join(side("ta", "pa"), "ta").join(side("tb", "pb"), "tb").select("ta", "tb", "pa", "pb")
-    return met.mapInPandas(lambda it: _alike(it, words, least), "a long, b long")
+    return met.mapInPandas(lambda it: trimmed(_alike(it, words, least)), "a long, b long")
 
 
 def text_hash() -> Column:
@@ -421,8 +424,13 @@ def like_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int =
     text's likeliest first, with more a text each time until none had more: only pairs that are joined already stay
     unchecked. Two texts without words are alike; nulls, repeated rows and other columns as in near_groups().
     """
+    with arrow_bytes(docs.sparkSession, ARROW):  # all Python work is done in here, the rest is a join of kept tables
+        return _like_groups(docs, words, least, bits)
+
+
+def _like_groups(docs: DataFrame, words: int, least: float, bits: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), "text")
-    marked = keep(rows.mapInPandas(lambda it: _fingerprint(it, words, ("th",)), "doc_id long, th long, fp long, fp2 long"), "fingerprints")
+    marked = keep(rows.mapInPandas(lambda it: trimmed(_fingerprint(it, words, ("th",))), "doc_id long, th long, fp long, fp2 long"), "fingerprints")
     heads = keep(marked.groupBy("th", *PRINTS).agg(F.min("doc_id").alias("first")), "heads")
     edges, crowded = None, None
     for which, fp in enumerate(PRINTS):
@@ -438,7 +446,7 @@ def like_groups(docs: DataFrame, words: int = 5, least: float = 0.8, bits: int =
     while more:
         of_nodes = crowded.join(sketches, "th").join(tagged.select("th", "component"), "th").select("which", *NODE.names)
         met = _met(of_nodes, bits, _sent_together, PACKED)
-        proposed = keep(met.mapInPandas(lambda it, limit=limit: _open_pairs(it, bits, least, limit), "ta long, tb long, more boolean"), "proposed")
+        proposed = keep(met.mapInPandas(lambda it, limit=limit: trimmed(_open_pairs(it, bits, least, limit)), "ta long, tb long, more boolean"), "proposed")
         more, limit = not proposed.where("more").isEmpty(), 4 * limit
         todo = keep(proposed.select("ta", "tb").distinct().join(edges, ["ta", "tb"], "left_anti"), "todo")
         if todo.isEmpty():
