@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -89,6 +90,29 @@ def test_topk_bounds_drop_candidates():
     assert seen[-1] < seen[0] / 10
 
 
+def test_topk_group_carries_its_floor():
+    rng = np.random.default_rng(1)
+    ids, mat = rng.permutation(6000), np.floor(rng.standard_normal((6000, 64)) * 40)
+    mat[100:1500], mat[3000:3400] = mat[0], -mat[1]  # many ties, and copies of one that no query likes
+    kind, packed = topk._packed(mat)
+    assert kind == "<i2"
+    qs, owns = np.concatenate([mat[:40], mat[2000:2020]]), np.concatenate([ids[:40], ids[2000:2020]])
+    pieces = [(kind, ids[lo : lo + 700].astype("<i8").tobytes(), mat[lo : lo + 700].astype("<i2").tobytes()) for lo in range(0, 6000, 700)]
+    frame = pd.DataFrame([(64, False, *p) for p in pieces] + [(64, True, kind, owns[lo : lo + 7].astype("<i8").tobytes(), qs[lo : lo + 7].astype("<i2").tobytes()) for lo in range(0, 60, 7)], columns=["dim", "is_query", "kind", "ids", "mat"])
+    got = pd.concat(topk._pairs(iter([frame]), 5, 16, 16, 512), ignore_index=True)
+    assert len(got) == 5 * 60  # k rows a query, not k rows a query and block
+    for q, own in zip(qs, owns):
+        score = mat @ q
+        want = sorted((-int(s), int(i)) for s, i in zip(score, ids) if i != own)[:5]
+        mine = got[got.query_id == own]
+        assert sorted(zip(-mine.score, mine.vec_id)) == want
+
+
+def test_topk_saturates_before_it_ranks():
+    found, score = topk._exact(np.array([1e32]), 9, np.array([[1e31, 1e32, 1e33]]), np.array([1, 2, 3]), 2)
+    assert list(found) == [1, 2] and score == [topk.LONG[1]] * 2
+
+
 # 2
 
 
