@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -49,6 +50,12 @@ def keep(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def where_computed(df: DataFrame, condition: Column | str) -> DataFrame:
+    """Rows of df where condition holds on its columns as computed once. A plain filter is pushed below the projections that
+    make them, each of their steps written out in it wherever it is used; one over a generator's rows stays where it is."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("wc_row")).select("wc_row.*").where(condition)
+
+
 def mark() -> int:
     """A point to release() from."""
     return len(_written)

@@ -56,6 +56,12 @@ def test_conflicts(spark):
     assert got == [["类型疑似冲突: 输入=裙, 文案出现=裤"], ["类型冲突: 输入=裙, 文案出现=裤"], ["颜色冲突: 输入=深色, 文案出现=白色/浅色"], ["颜色冲突: 输入=红色, 文案出现=绿色", "材质冲突: 输入=棉, 文案出现=真丝"], []]
 
 
+def test_conflicts_are_filtered_once_computed(spark, sf):
+    df = catalogue.attr_conflicts(spark, sf)
+    assert len(df._jdf.queryExecution().executedPlan().toString()) < 50_000  # a filter that is pushed down writes out 467,000
+    assert 0 < df.count() < catalogue.rule_score(spark, sf).count()
+
+
 def test_score_edges(spark):
     df = spark.createDataFrame([(None, None), ("", ""), ("a=好", "好" * 100), ("a=好", "治疗100%永久")], "input string, text string")
     got = rules.score(df).collect()
