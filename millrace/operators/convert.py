@@ -13,22 +13,28 @@ def _plain(c: str) -> Column:
     return F.expr(S.normalize(S.SPARK, c))
 
 
-def _with_ids(df: DataFrame, prefix: str, pos: str) -> DataFrame:
+def row_id(prefix: str, n: str, cut: bool = False) -> Column:
+    """prefix and a row's number in six digits, or in more from a million on. cut: in its first six, as SQL's lpad has it, so
+    that ids repeat from a million on."""
+    return F.concat(F.lit(f"{prefix}_"), F.lpad(F.col(n).cast("string"), 6, "0")) if cut else F.format_string(f"{prefix}_%06d", n)
+
+
+def _with_ids(df: DataFrame, prefix: str, pos: str, cut: bool) -> DataFrame:
     """id, or where it is null or empty the prefix and the row's number in the order of pos."""
     df = clean.numbered(df, [F.col(pos)], "cv_n")
-    made = F.format_string(f"{prefix}_%06d", "cv_n")
+    made = row_id(prefix, "cv_n", cut)
     return df.withColumn("id", F.coalesce(F.nullif(_plain("id"), F.lit("")), made)).drop("cv_n")
 
 
-def records(df: DataFrame, prefix: str = "sample", pos: str = "pos") -> DataFrame:
-    """id, instruction, input, reference (output where that is null or empty), normalised."""
-    df = _with_ids(df, prefix, pos).withColumn("reference", F.coalesce(F.nullif(F.col("reference"), F.lit("")), "output"))
+def records(df: DataFrame, prefix: str = "sample", pos: str = "pos", cut: bool = False) -> DataFrame:
+    """id, instruction, input, reference (output where that is null or empty), normalised. cut: see row_id()."""
+    df = _with_ids(df, prefix, pos, cut).withColumn("reference", F.coalesce(F.nullif(F.col("reference"), F.lit("")), "output"))
     return df.select("id", *(_plain(c).alias(c) for c in ("instruction", "input", "reference")))
 
 
 def generations(df: DataFrame, json_col: str = "generations", systems: tuple[str, ...] = ("base", "sft", "dpo"), pos: str = "pos") -> DataFrame:
     """id and each system's text from a column of JSON; what isn't an object counts as one without entries."""
-    df = _with_ids(df, "test", pos).withColumn("cv_j", F.try_parse_json(json_col))
+    df = _with_ids(df, "test", pos, False).withColumn("cv_j", F.try_parse_json(json_col))
     df = df.withColumn("cv_o", F.when(F.coalesce(F.schema_of_variant("cv_j").startswith("OBJECT"), F.lit(False)), F.col("cv_j")))
     df = df.withColumns({f"cv_{s}": F.try_variant_get("cv_o", f"$.{s}", "string") for s in systems})
     return df.select("id", *(_plain(f"cv_{s}").alias(s) for s in systems))

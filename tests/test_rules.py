@@ -1,6 +1,7 @@
 """Golden cases, edge cases and invariants of the operators outside the optional subpackage."""
 
 import json
+import re
 
 import duckdb
 import pytest
@@ -202,6 +203,25 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).where("coverage = 1").count() == 3
 
 
+def test_row_ids(spark):
+    df = spark.createDataFrame([(7,), (999_999,), (1_000_000,)], "n long")
+    assert [r.r for r in df.select(convert.row_id("s", "n").alias("r")).collect()] == ["s_000007", "s_999999", "s_1000000"]
+    assert [r.r for r in df.select(convert.row_id("s", "n", cut=True).alias("r")).collect()] == ["s_000007", "s_999999", "s_100000"]
+
+
+@pytest.mark.parametrize("name", ["convert_records"])
+def test_ids_past_a_million_are_as_in_sql(spark, sf, name, monkeypatch):
+    numbered, later = clean.numbered, 999_900
+    monkeypatch.setattr(clean, "numbered", lambda df, order, to="rn", **more: numbered(df, order, to, **more).withColumn(to, F.col(to) + later))
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{sf}/part.parquet'")
+    df = catalogue.QUERIES[name](spark, sf)
+    sql = re.sub(r"row_number\(\) over \([^)]*\)", rf"({later} + \g<0>)", catalogue.ORACLES[name])
+    assert str(later) in sql
+    want = con.execute(f"select {', '.join(df.columns)} from ({sql})").fetchall()
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("name", list(catalogue.ORACLES))
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
