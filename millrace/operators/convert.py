@@ -48,7 +48,7 @@ def mock_generations(df: DataFrame) -> DataFrame:
     return df.select("id", *(F.expr(f(e, "reference", "cv_v")).alias(name) for name, f in made.items()))
 
 
-def eval_rows(df: DataFrame, prefix: str, instruction: str, pos: str = "pos") -> DataFrame:
-    """id (prefix and number in the order of pos), instruction, input, reference, raw_content."""
+def eval_rows(df: DataFrame, prefix: str, instruction: str, pos: str = "pos", cut: bool = False) -> DataFrame:
+    """id (prefix and number in the order of pos; cut: see row_id()), instruction, input, reference, raw_content."""
     df = clean.numbered(df, [F.col(pos)], "cv_n")
-    return df.select(F.format_string(f"{prefix}_%06d", "cv_n").alias("id"), F.lit(instruction).alias("instruction"), "input", "reference", F.col("content").alias("raw_content"))
+    return df.select(row_id(prefix, "cv_n", cut).alias("id"), F.lit(instruction).alias("instruction"), "input", "reference", F.col("content").alias("raw_content"))
