@@ -32,9 +32,9 @@ def records(df: DataFrame, prefix: str = "sample", pos: str = "pos", cut: bool =
     return df.select("id", *(_plain(c).alias(c) for c in ("instruction", "input", "reference")))
 
 
-def generations(df: DataFrame, json_col: str = "generations", systems: tuple[str, ...] = ("base", "sft", "dpo"), pos: str = "pos") -> DataFrame:
-    """id and each system's text from a column of JSON; what isn't an object counts as one without entries."""
-    df = _with_ids(df, "test", pos, False).withColumn("cv_j", F.try_parse_json(json_col))
+def generations(df: DataFrame, json_col: str = "generations", systems: tuple[str, ...] = ("base", "sft", "dpo"), pos: str = "pos", cut: bool = False) -> DataFrame:
+    """id and each system's text from a column of JSON; what isn't an object counts as one without entries. cut: see row_id()."""
+    df = _with_ids(df, "test", pos, cut).withColumn("cv_j", F.try_parse_json(json_col))
     df = df.withColumn("cv_o", F.when(F.coalesce(F.schema_of_variant("cv_j").startswith("OBJECT"), F.lit(False)), F.col("cv_j")))
     df = df.withColumns({f"cv_{s}": F.try_variant_get("cv_o", f"$.{s}", "string") for s in systems})
     return df.select("id", *(_plain(f"cv_{s}").alias(s) for s in systems))

@@ -209,7 +209,7 @@ def test_row_ids(spark):
     assert [r.r for r in df.select(convert.row_id("s", "n", cut=True).alias("r")).collect()] == ["s_000007", "s_999999", "s_100000"]
 
 
-@pytest.mark.parametrize("name", ["convert_records", "eval_ids", "eval_rows"])
+@pytest.mark.parametrize("name", ["convert_records", "eval_ids", "eval_rows", "generations_normalized"])
 def test_ids_past_a_million_are_as_in_sql(spark, sf, name, monkeypatch):
     numbered, later = clean.numbered, 999_900
     monkeypatch.setattr(clean, "numbered", lambda df, order, to="rn", **more: numbered(df, order, to, **more).withColumn(to, F.col(to) + later))
