@@ -89,15 +89,17 @@ def _meet(qs: np.ndarray, q_rest: np.ndarray, owns: np.ndarray, vertical: np.nda
         left += score
         may = left >= (floor - 2 if end < d else floor)[:, None].astype(score.dtype)
         if end == d:
-            may = (score >= floor[:, None].astype(score.dtype)) & ~np.isneginf(score)
+            may = score >= floor[:, None].astype(score.dtype)
+            if np.isneginf(floor).any():
+                may &= score > -np.inf
         alive = int(np.count_nonzero(may))
         if shares is not None:
             shares[b] = alive / max(n * m, 1)
         if alive <= SPARSE * n * m:
             break
     if not tops:
-        may = ~np.isneginf(score)
-    r, c = np.nonzero(may)
+        may = score > -np.inf
+    r, c = np.divmod(np.flatnonzero(may), m)
     s = score[r, c]
     for b in range(b + 1 if tops else 0, len(tops)):
         top, end = tops[b], min(tops[b] + step, d)
@@ -105,7 +107,8 @@ def _meet(qs: np.ndarray, q_rest: np.ndarray, owns: np.ndarray, vertical: np.nda
         s = s + np.einsum("ij,ji->i", qs[r, top:end], vertical[top:end, c])
         keep = s + (q_rest[b + 1] * (1 + 1e-5))[r] * rest[b + 1][c] >= (floor - (2 if end < d else 0))[r]
         r, c, s = r[keep], c[keep], s[keep]
-    return r, c, s, seen
+    other = s > -np.inf  # a query without a floor would else keep its own row
+    return r[other], c[other], s[other], seen
 
 
 def search(q: np.ndarray, own: int, vertical: np.ndarray, rest: np.ndarray, ids: np.ndarray, k: int, step: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,9 +182,7 @@ def _pairs(frames: Iterator[pd.DataFrame], k: int, step: int, q_rows: int, c_row
         nonlocal group, queries, cands
         if cands and queries:
             group = group or _Group(cands, dim, c_rows, step)
-            owns, qs = _unpacked(queries, dim)
-            for lo in range(0, len(owns), q_rows):
-                yield group.best(owns[lo : lo + q_rows], qs[lo : lo + q_rows], k)
+            yield group.best(*_unpacked(queries, dim), k)
         queries = []
 
     for frame in frames:
@@ -190,7 +191,7 @@ def _pairs(frames: Iterator[pd.DataFrame], k: int, step: int, q_rows: int, c_row
                 yield from met()
                 dim, cands, group = d, [], None
             (queries if is_query else cands).append((kind, ids, mat))
-            if sum(len(q[1]) for q in queries) >= 8 * q_rows:
+            if sum(len(q[1]) for q in queries) >= 8 * q_rows:  # less than twice as many, as a block has q_rows at most
                 yield from met()
     yield from met()
 
